@@ -6,9 +6,11 @@ from lectern.llm.language_id import op4_language_id
 from lectern.llm.packing import op5_packing
 from lectern.llm.simhash import op8_simhash
 from lectern.llm.substring import op2_substring
+from lectern.llm.suffix_array import op1_suffix_array
 from lectern.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_substring": op2_substring,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
@@ -16,4 +18,20 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: Every 50-word passage is spelled out, grouped and numbered; islands of its places are the spans.
+_REPEATS = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), x -> x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, pos, md5(array_to_string(ws[pos + 1 : pos + 50], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS pos FROM w WHERE len(ws) >= 50)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS k, count(*) OVER (PARTITION BY h) AS n FROM g),
+p AS (SELECT doc_id, pos, k > 1 AS redundant FROM r WHERE n > 1),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span
+      FROM (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM p)),
+c AS (SELECT doc_id, span, pos, least(50, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos, 50)) AS words FROM i WHERE redundant)
+SELECT s.doc_id, CAST(min(s.pos) AS INTEGER) AS start_word, CAST(max(s.pos) + 50 AS INTEGER) AS end_word,
+       CAST(max(s.pos) + 50 - min(s.pos) AS INTEGER) AS n_words, CAST(coalesce(any_value(t.cut), 0) AS INTEGER) AS n_cut
+FROM i s LEFT JOIN (SELECT doc_id, span, sum(words) AS cut FROM c GROUP BY ALL) t ON s.doc_id = t.doc_id AND s.span = t.span
+GROUP BY s.doc_id, s.span
+"""
+
+ORACLES: dict[str, str] = {"op1_suffix_array": _REPEATS, "op2_substring": _REPEATS}
