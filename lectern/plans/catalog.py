@@ -1,7 +1,8 @@
-"""The query catalog: named queries over the driver tables, each with its SQL twin."""
+"""The query catalog: named queries over the driver tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+_PARTS = ("storage", "statistics", "metadata", "sectioning", "retrieval", "graph", "evidence", "layout")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with the SQL that gives the same rows."""
+
+    def add(function: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        _QUERIES[name] = function
+        if sql is not None:
+            _ORACLES[name] = sql
+        return function
+
+    return add
+
+
+def _load() -> None:
+    for part in _PARTS:
+        importlib.import_module(f"lectern.plans.{part}")
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    _load()
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return _ORACLES
+    _load()
+    return dict(_ORACLES)
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return _QUERIES["r7_hybrid_search"](spark, sf_dir)
