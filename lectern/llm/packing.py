@@ -33,15 +33,19 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     """Patterns (lengths in order of placing) and how many packs have each.
 
     Lengths go longest first. Among the open patterns that have room the shortest, i.e. the one
-    with the fewest words so far, takes the length; of equals the one opened first.
+    with the fewest words so far, takes the length; of equals the one opened first. If none
+    has room, packs are opened and filled with the length as far as it goes.
     """
     open_by: dict[int, list[list]] = defaultdict(list)  # words used -> [pattern, count]
     for length in sorted(histogram, reverse=True):
         todo = histogram[length]
         while todo:
             used = min((u for u, group in open_by.items() if group and u + length <= capacity), default=None)
-            if used is None:
-                open_by[length].append([(length,), todo])
+            if used is None:  # new packs take as many of this length as they have room for
+                fit = capacity // length
+                for times, count in ((fit, todo // fit), (todo % fit, 1)):
+                    if times and count:
+                        open_by[length * times].append([(length,) * times, count])
                 break
             pattern, count = open_by[used][0]
             fit = min((capacity - used) // length, -(-todo // count)) or 1
