@@ -47,8 +47,11 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
-def scan(queries: np.ndarray, bounds: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, squared distance) of the pairs that survive every test and end within the bound."""
+def scan(queries: np.ndarray, bounds: np.ndarray, members: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, squared distance) of the asked pairs that survive every test and end within the bound.
+
+    ``asked`` tells which members lie in a list that the query probes.
+    """
     dim = members.shape[1]
     first = min(COLUMN_BLOCK, dim)
     limit = np.sqrt(bounds)
@@ -56,7 +59,8 @@ def scan(queries: np.ndarray, bounds: np.ndarray, members: np.ndarray) -> tuple[
     def cap(d: int) -> np.ndarray:  # of the squared partial distance after d of dim columns
         return (limit * (1 + EPSILON / math.sqrt(d)) * math.sqrt(d / dim)) ** 2 + 1e-12 if d < dim else bounds + 1e-12
 
-    i, j = np.nonzero(_squared(queries[:, :first], members[:, :first]) <= cap(first)[:, None] + 1e-9)
+    near = _squared(queries[:, :first].astype(np.float32), members[:, :first].astype(np.float32))
+    i, j = np.nonzero((near <= (cap(first) * (1 + 1e-4) + 1e-5).astype(np.float32)[:, None]) & asked)
     part = ((queries[i, :first] - members[j, :first]) ** 2).sum(1)
     at = first
     while at < dim:
@@ -190,28 +194,39 @@ def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET, *, id_col
             take = np.array([r[1] for r in rows], np.int64)
             yield pd.DataFrame({"shard": np.array([r[0] for r in rows], np.int64), "vec_id": batch["vec_id"].to_numpy()[take], "bound": batch["bound"].to_numpy()[take], "v": batch["v"].to_numpy()[take], "lists": pd.Series([np.array(r[2], np.int32) for r in rows], dtype=object)})
 
+    def best(who: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pd.DataFrame({"vec_id": who[i[first]], "neighbour_id": ids[j[first]], "distance": d[first]})
+
+    def search_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest within the shard that a query lies in. There is no bound yet to test against."""
+        x, ids = np.stack(pdf["v"].to_numpy()).astype(float), pdf["vec_id"].to_numpy()
+        out = []
+        for s in range(0, len(x), 256):
+            d = _squared(x[s : s + 256], x)
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            far = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            i, j = np.nonzero((d <= far[:, None] + 1e-9) & np.isfinite(d))  # ties included
+            exact = ((x[s + i] - x[j]) ** 2).sum(1).round(7)
+            out.append(best(ids[s : s + 256], ids, i, j, exact))
+        return pd.concat(out)
+
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"vec_id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "distance": np.zeros(0)})]
         x, ids = np.stack(right["v"].to_numpy()).astype(float) if len(right) else None, right["vec_id"].to_numpy()
         for s in range(0, len(left) if len(right) else 0, 256):
             part = left.iloc[s : s + 256]
-            q, who = np.stack(part["v"].to_numpy()).astype(float), part["vec_id"].to_numpy()
-            i, j, d = scan(q, part["bound"].to_numpy(float), x)
-            ok = who[i] != ids[j]
-            if "lists" in part:
-                probed = np.zeros((len(part), len(bounds.value[0])), bool)
-                for r, lists in enumerate(part["lists"]):
-                    probed[r, lists] = True
-                ok &= probed[i, right["list"].to_numpy()[j]]
-            i, j, d = i[ok], j[ok], d[ok].round(7)
-            order = np.lexsort((ids[j], d, i))
-            i, j, d = i[order], j[order], d[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
-            out.append(pd.DataFrame({"vec_id": who[i[best]], "neighbour_id": ids[j[best]], "distance": d[best]}))
+            probed = np.zeros((len(part), len(bounds.value[0])), bool)
+            for r, lists in enumerate(part["lists"]):
+                probed[r, lists] = True
+            i, j, d = scan(np.stack(part["v"].to_numpy()).astype(float), part["bound"].to_numpy(float), x, probed[:, right["list"].to_numpy()])
+            out.append(best(part["vec_id"].to_numpy(), ids, i, j, d.round(7)))
         return pd.concat(out)
 
     members = placed.select("vec_id", "list", "salt", "v").mapInPandas(shard_members, "shard bigint, vec_id bigint, list int, v array<float>")
-    own = persist_table(members.groupBy("shard").applyInPandas(lambda pdf: search(pdf[["vec_id", "v"]].assign(bound=np.inf), pdf), FOUND), "own")
+    own = persist_table(members.groupBy("shard").applyInPandas(search_home, FOUND), "own")
     bound = own.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("bound"))
     asked = placed.select("vec_id", "v", "near", "salt").join(bound, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     asked = asked.mapInPandas(shard_queries, "shard bigint, vec_id bigint, bound double, v array<float>, lists array<int>")
