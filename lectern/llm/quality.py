@@ -36,7 +36,7 @@ def measures(slim: DataFrame) -> DataFrame:
     chars = F.greatest(F.length("text"), F.lit(1))
     left, right = F.slice("words", 1, F.greatest(n - 1, F.lit(0))), F.slice("words", 2, F.greatest(n - 1, F.lit(0)))
     return first.select(
-        "doc_id", (F.trim("text") == "").alias("blank"), n.alias("n"), F.size("lines").alias("n_lines"),
+        "doc_id", (~F.col("text").rlike(r"\S")).alias("blank"), n.alias("n"), F.size("lines").alias("n_lines"),
         (F.size(F.array_distinct("words")) / n).alias("variety"),
         (F.size(F.array_distinct("lines")) / F.size("lines")).alias("line_variety"),
         (F.size(F.filter(F.zip_with(left, right, lambda a, b: a == b), lambda x: x)) / n).alias("stutter"),
