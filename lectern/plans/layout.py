@@ -1 +1,117 @@
-"""Queries."""
+"""Layout queries on word and line boxes. The driver tables have none; boxes are made from their numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import layout as L
+from lectern.plans.catalog import query
+from lectern.sources.fixtures import Rows
+from lectern.sources.tables import SQL_LINES, table, text_lines
+
+#: Line boxes of two columns: a page an order, a line an item; the left or right half by the line number.
+_SQL_BOXES = """boxes AS (SELECT CAST(l_orderkey // 8 AS INTEGER) AS page, 600.0 AS width, CASE WHEN l_linenumber % 2 = 0 THEN 50.0 ELSE 320.0 END + l_quantity / 10 AS x0,
+  CASE WHEN l_linenumber % 2 = 0 THEN 270.0 ELSE 550.0 END + l_quantity / 5 AS x1, CAST(l_linenumber * 20 + l_orderkey % 8 * 100 AS DOUBLE) AS y0, l_partkey AS id FROM lineitem)"""
+
+
+def boxes(spark, d):
+    item = table(spark, d, "lineitem")
+    left = F.col("l_linenumber") % 2 == 0
+    return item.select(
+        F.floor(F.col("l_orderkey") / 8).cast("int").alias("page"), F.lit(600.0).alias("width"), (F.when(left, 50.0).otherwise(320.0) + F.col("l_quantity") / 10).alias("x0"),
+        (F.when(left, 270.0).otherwise(550.0) + F.col("l_quantity") / 5).alias("x1"), (F.col("l_linenumber") * 20 + F.col("l_orderkey") % 8 * 100).cast("double").alias("y0"), F.col("l_partkey").alias("id"),
+    )
+
+
+@query("g3_gutters", f"""WITH {_SQL_BOXES}, g AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE x0 < 192) AS nl, count(*) FILTER (WHERE x0 > 270) AS nr, quantile_cont(x1, 0.75) FILTER (WHERE x0 < 192) AS a, quantile_cont(x0, 0.25) FILTER (WHERE x0 > 270) AS b FROM boxes GROUP BY page)
+SELECT page, round((a + b) / 2, 6) AS gutter FROM g WHERE n >= 12 AND nl >= 4 AND nr >= 4 AND b - a >= 9 AND (a + b) / 2 / 600 BETWEEN 0.35 AND 0.65""")
+def gutters(spark, d):
+    return L.gutters(boxes(spark, d)).select("page", F.round("gutter", 6).alias("gutter"))
+
+
+@query("g1_margin_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (NOT ((l_quantity * 12 + 5) / 600 BETWEEN 0.12 AND 0.88) AND 10 <= 21 AND l_tax * 1000 > 10)")
+def margin_filter(spark, d):
+    """Boxes 10 points wide, placed by quantity, as tall as the tax says."""
+    x0 = F.col("l_quantity") * 12
+    return table(spark, d, "lineitem").where(~L.is_margin_artifact(x0, F.lit(0.0), x0 + 10, F.col("l_tax") * 1000, F.lit(600.0))).select("l_orderkey", "l_linenumber")
+
+
+@query("g5_columns", f"WITH {_SQL_BOXES} SELECT \"column\", count(*) AS n FROM (SELECT CASE WHEN page % 5 = 0 THEN 'single' WHEN x1 <= 290 + page % 3 * 30 THEN 'left' WHEN x0 >= 290 + page % 3 * 30 THEN 'right' ELSE 'full' END AS \"column\" FROM boxes) GROUP BY 1")
+def columns(spark, d):
+    gutter = F.when(F.col("page") % 5 != 0, 290 + F.col("page") % 3 * 30)
+    return boxes(spark, d).select(L.column_of(F.col("x0"), F.col("x1"), gutter).alias("column")).groupBy("column").agg(F.count("*").alias("n"))
+
+
+@query("g8_reading_order", f"""WITH {_SQL_BOXES}, c AS (SELECT *, CASE WHEN id % 11 = 0 THEN 'full' WHEN x0 < 200 THEN 'left' ELSE 'right' END AS col FROM boxes), z AS (SELECT *, min(CASE WHEN col <> 'full' THEN y0 END) OVER (PARTITION BY page) AS body FROM c)
+SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN col = 'full' AND y0 < body THEN 0 WHEN col = 'left' THEN 1 WHEN col = 'right' THEN 2 ELSE 3 END, y0, x0, id) AS place FROM z""")
+def reading_order(spark, d):
+    column = F.when(F.col("id") % 11 == 0, "full").when(F.col("x0") < 200, "left").otherwise("right")
+    return L.reading_order(boxes(spark, d).withColumn("column", column), tie="id").select("page", "id", F.col("place").cast("bigint").alias("place"))
+
+
+_LIT = Rows("id:int text:string", (1, "Downloaded from somewhere"), (2, "Methods of the study"), (3, "© 2020 A Society"), (4, "All rights reserved."), (5, ""), (6, "The copyright holder"))
+
+
+@query("g9_boilerplate", f"WITH {_LIT.sql('t')} SELECT id FROM t WHERE NOT regexp_matches(lower(text), '^(downloaded (by|from)|©|all rights reserved)')")
+def boilerplate(spark, d):
+    return _LIT.frame(spark).where(~L.is_boilerplate(F.col("text"))).select("id")
+
+
+@query("f34_repetition_keys", f"WITH {SQL_LINES} SELECT doc_id, line_index, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM lines")
+def repetition_keys(spark, d):
+    return text_lines(spark, d).select("doc_id", "line_index", T.repetition_key(F.col("text")).alias("key"))
+
+
+@query("g11_margin_lines", f"""WITH {SQL_LINES}, e AS (SELECT *, line_index = min(line_index) OVER (PARTITION BY doc_id, page) OR line_index = max(line_index) OVER (PARTITION BY doc_id, page) AS edge, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM lines),
+r AS (SELECT doc_id, key FROM e WHERE edge AND length(key) >= 3 GROUP BY ALL HAVING count(DISTINCT page) >= 2) SELECT e.doc_id, e.line_index FROM e WHERE NOT (edge AND ((doc_id, key) IN (SELECT (doc_id, key) FROM r) OR regexp_matches(lower(trim(text)), '^(page )?[0-9]+$')))""")
+def margin_lines(spark, d):
+    """Without first and last lines of pages that repeat on two pages of the document, or are page numbers."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id", "page")
+    lines = text_lines(spark, d).withColumn("edge", (F.col("line_index") == F.min("line_index").over(w)) | (F.col("line_index") == F.max("line_index").over(w))).withColumn("key", T.repetition_key(F.col("text")))
+    repeated = lines.where(F.col("edge") & (F.length("key") >= 3)).groupBy("doc_id", "key").agg(F.countDistinct("page").alias("n")).where("n >= 2").select("doc_id", "key", F.lit(True).alias("repeated"))
+    gone = F.col("edge") & (F.coalesce("repeated", F.lit(False)) | F.lower(F.trim("text")).rlike(r"^(?:page )?\d+$"))
+    return lines.join(repeated, ["doc_id", "key"], "left").where(~gone).select("doc_id", "line_index")
+
+
+_PAIRS = Rows("id:int a:string b:string", (1, "a reposi-", "tory of texts"), (2, "a self-", "made map"), (3, "ends here", "and on"), (4, "Anglo-", "Saxon"), (5, "x-", "ray"))
+
+
+@query("f35_hyphen_pairs", f"WITH {_PAIRS.sql('t')} SELECT id, CASE WHEN regexp_matches(a, '[A-Za-z]-$') AND regexp_matches(b, '^[a-z]') THEN CASE WHEN lower(regexp_extract(a, '([A-Za-z]+)-$', 1)) = 'self' THEN a ELSE regexp_replace(a, '-$', '') END || b END AS joined FROM t")
+def hyphen_pairs(spark, d):
+    return _PAIRS.frame(spark).select("id", L.joined_pair(F.col("a"), F.col("b")).alias("joined"))
+
+
+_GLYPHS = Rows("id:int text:string", (1, "the ﬁnal ﬂow oﬀ"), (2, "a b"), (3, "x , y ."), (4, "plain"), (5, None))
+
+
+@query("f33_normal_text", f"WITH {_GLYPHS.sql('t')} SELECT id, regexp_replace(replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), chr(160), ' '), '\\s+([,.;:])', '\\1', 'g') AS text FROM t")
+def normal_text(spark, d):
+    out = F.col("text")
+    for a, b in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), (" ", " ")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return _GLYPHS.frame(spark).select("id", F.regexp_replace(out, r"\s+([,.;:])", "$1").alias("text"))
+
+
+@query("g7_merged_fragments", f"""WITH {_SQL_BOXES}, f AS (SELECT page, CAST(y0 AS INTEGER) AS row, x0 - 40 * (id % 3) AS x0, x0 - 40 * (id % 3) + 25 AS x1, id FROM boxes), m AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY page, row ORDER BY x0, id) AS gap FROM f)
+SELECT page, count(*) FILTER (WHERE NOT coalesce(gap BETWEEN 0 AND 80, false)) AS lines FROM m GROUP BY page""")
+def merged_fragments(spark, d):
+    shift = 40 * (F.col("id") % 3)
+    parts = boxes(spark, d).select("page", F.lit("single").alias("column"), F.col("y0").cast("int").alias("row"), (F.col("x0") - shift).alias("x0"), (F.col("x0") - shift + 25).alias("x1"), "y0", (F.col("y0") + 10).alias("y1"), F.col("id").cast("string").alias("text"))
+    return L.merged_fragments(parts).groupBy("page").agg(F.count("*").alias("lines"))
+
+
+def words_of_pages(spark, d):
+    """Word boxes laid out from the documents' words: eight a row, in two columns of twenty rows on every other page."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "text")).where("text <> ''")
+    column, row, at = F.floor(F.col("i") / 80) % 2, F.floor(F.col("i") / 4) % 20, F.col("i") % 4
+    x0 = 40.0 + column * 280 + at * 60
+    return words.select((F.col("doc_id") * 1000 + F.floor(F.col("i") / 160)).cast("int").alias("page"), x0.cast("double").alias("x0"), (row * 14.0).cast("double").alias("y0"), (x0 + 50).cast("double").alias("x1"), (row * 14.0 + 10).cast("double").alias("y1"), "text", F.lit(600.0).alias("width"))
+
+
+@query("g12_page_lines")
+def page_lines(spark, d):
+    """All geometry steps; the order-dependent ones run in pandas, page by page. Tested on a page set by hand."""
+    return L.pages_to_lines(words_of_pages(spark, d))
