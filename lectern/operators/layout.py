@@ -76,19 +76,14 @@ def is_boilerplate(text: Column) -> Column:
     return F.trim(text).rlike(BOILERPLATE)
 
 
-def rows_by_height(words: DataFrame) -> DataFrame:
-    """Words with ``row``: a word joins the first row whose median height is near its own, else it opens one.
-
-    The rows depend on the order of the words, so each page is one group in pandas.
-    """
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0"], kind="stable").reset_index(drop=True)
-        tolerance = max(2.0, 0.45 * float((page["y1"] - page["y0"]).median()))
+def _row_numbers(tops: pd.Series, bottoms: pd.Series) -> pd.Series:
+    out = []
+    for y0, y1 in zip(tops, bottoms):
+        tolerance = max(2.0, 0.45 * median([b - a for a, b in zip(y0, y1)]))
         rows: list[list[float]] = []
         medians: list[float] = []
-        out = []
-        for y in ((page["y0"] + page["y1"]) / 2).tolist():
+        numbers = []
+        for y in ((y0 + y1) / 2).tolist():
             at = next((k for k, m in enumerate(medians) if abs(m - y) <= tolerance), None)
             if at is None:
                 at = len(rows)
@@ -96,11 +91,21 @@ def rows_by_height(words: DataFrame) -> DataFrame:
                 medians.append(y)
             rows[at].append(y)
             medians[at] = median(rows[at])
-            out.append(at)
-        return page.assign(row=pd.Series(out, dtype="int32"))
+            numbers.append(at)
+        out.append(numbers)
+    return pd.Series(out)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in words.dtypes) + ", row int"
-    return words.groupBy("page").applyInPandas(run, schema)
+
+def rows_by_height(words: DataFrame) -> DataFrame:
+    """Words with ``row``: a word joins the first row whose median height is near its own, else it opens one.
+
+    The rows depend on the order of the words, so a page is one row of arrays, and many pages a batch.
+    """
+    rest = [c for c in words.columns if c not in ("page", "y0", "x0")]
+    pages = words.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", *rest))).alias("w"))
+    numbered = pages.withColumn("r", F.pandas_udf(_row_numbers, "array<int>")(F.col("w.y0"), F.col("w.y1")))
+    flat = numbered.select("page", F.explode(F.arrays_zip("w", "r")).alias("z"))
+    return flat.select("page", *[F.col(f"z.w.{c}").alias(c) for c in words.columns if c != "page"], F.col("z.r").alias("row"))
 
 
 KEPT_HYPHENS = ("co", "cross", "ex", "high", "low", "multi", "non", "self", "semi", "well")
@@ -114,32 +119,37 @@ def joined_pair(a: Column, b: Column) -> Column:
     return F.when(fits, F.concat(F.when(prefix.isin(*KEPT_HYPHENS), a).otherwise(F.regexp_replace(a, "-$", "")), b))
 
 
+def _join(a: str, b: str) -> tuple[str, str] | None:
+    word = a.rsplit(" ", 1)[-1]
+    if not (word.endswith("-") and word[:-1].isalpha() and b[:1].islower()):
+        return None
+    head, _, rest = b.partition(" ")
+    return (a if word[:-1].lower() in KEPT_HYPHENS else a[:-1]) + head, rest
+
+
+def _put_together(columns: pd.Series) -> pd.Series:
+    done = []
+    for lines in columns:
+        out: list[dict] = []
+        for line in lines:
+            text = line["text"]
+            made = _join(out[-1]["text"], text) if out else None
+            if made is not None:
+                out[-1]["text"], text = made
+            if text.strip():
+                out.append({"place": line["place"], "text": text})
+        done.append(out)
+    return pd.Series(done)
+
+
 def dehyphenated(lines: DataFrame) -> DataFrame:
     """Lines (page, column, place, text) with words put together across line ends, page by page and column by column.
 
     A joined line may end in a hyphen again, so this is a fold; what follows the joined word
     stays a line of its own.
     """
-
-    def join(a: str, b: str) -> tuple[str, str] | None:
-        word = a.rsplit(" ", 1)[-1]
-        if not (word.endswith("-") and word[:-1].isalpha() and b[:1].islower()):
-            return None
-        head, _, rest = b.partition(" ")
-        return (a if word[:-1].lower() in KEPT_HYPHENS else a[:-1]) + head, rest
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for row in group.sort_values("place").itertuples(index=False):
-            text = row.text
-            made = join(out[-1][3], text) if out else None
-            if made is not None:
-                out[-1][3], text = made
-            if text.strip():
-                out.append([row.page, row.column, row.place, text])
-        return pd.DataFrame(out, columns=["page", "column", "place", "text"])
-
-    return lines.groupBy("page", "column").applyInPandas(run, "page int, column string, place int, text string")
+    folded = lines.groupBy("page", "column").agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "text"))).alias("l"))
+    return folded.select("page", "column", F.inline(F.pandas_udf(_put_together, "array<struct<place:int,text:string>>")("l")))
 
 
 def pages_to_lines(words: DataFrame) -> DataFrame:

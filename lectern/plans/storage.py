@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ascii_lower, has_literal, missing
+from lectern.functions.text import has_literal, missing
 from lectern.operators import storage as ops
 from lectern.operators.chunking import word_chunks
 from lectern.plans.catalog import query
@@ -122,14 +122,20 @@ def schema_defaults(spark, d):
     return pages
 
 
-@query("p1_point_lookup", f"WITH {SQL_BIB} SELECT doc_id, sha, title, path FROM bib WHERE doc_id = 7 OR path = 'src3/103.txt'")
+@query("p1_point_lookup", f"WITH {SQL_BIB} SELECT doc_id, sha, title, path FROM bib WHERE doc_id IN (SELECT doc_id FROM labels) OR path IN (SELECT 'src' || CAST(item_id % 10 AS VARCHAR) || '/' || CAST(item_id AS VARCHAR) || '.txt' FROM benchmark)")
 def point_lookup(spark, d):
-    return bibliography(spark, d).where((F.col("doc_id") == 7) | (F.col("path") == "src3/103.txt")).select("doc_id", "sha", "title", "path")
+    """Many lookups at once, by id and by path: the keys are a table, each kind one semi join."""
+    bib = bibliography(spark, d).select("doc_id", "sha", "title", "path")
+    item = F.col("item_id")
+    paths = table(spark, d, "benchmark").select(F.concat(F.lit("src"), (item % 10).cast("string"), F.lit("/"), item.cast("string"), F.lit(".txt")).alias("path"))
+    return bib.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").union(bib.join(paths, "path", "left_semi").select("doc_id", "sha", "title", "path")).distinct()
 
 
-@query("p2_document_chunks", f"WITH RECURSIVE {SQL_CHUNKS} SELECT chunk_index, text FROM chunks WHERE doc_id = 12 ORDER BY chunk_index")
+@query("p2_document_chunks", f"WITH RECURSIVE {SQL_CHUNKS} SELECT doc_id, count(*) AS chunks, sha256(string_agg(text, '|' ORDER BY chunk_index)) AS sha FROM chunks GROUP BY doc_id")
 def document_chunks(spark, d):
-    return word_chunks(table(spark, d, "documents").where("doc_id = 12")).orderBy("chunk_index").select("chunk_index", "text")
+    """Every document's chunks in the order of their index."""
+    listed = chunks_of(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
+    return listed.select("doc_id", F.size("c").cast("bigint").alias("chunks"), F.sha2(F.array_join("c.text", "|"), 256).alias("sha"))
 
 
 @query("p3_list_documents", f"WITH {SQL_BIB} SELECT row_number() OVER (ORDER BY {_ORDER}) AS place, doc_id, title FROM bib")
@@ -223,7 +229,3 @@ def initial_chunks(spark, d):
     ranked = chunks_of(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")).cast("bigint"))
     return ranked.where("k <= 2").select("doc_id", "chunk_index", "k")
 
-
-@query("p3_ordered_paths", f"WITH {SQL_BIB} SELECT doc_id, path FROM bib ORDER BY {_FOLD.format('path')}, doc_id LIMIT 50")
-def ordered_paths(spark, d):
-    return bibliography(spark, d).orderBy(ascii_lower(F.col("path")), "doc_id").select("doc_id", "path").limit(50)
