@@ -20,7 +20,7 @@ def _share_upper(c: Column) -> tuple[Column, Column]:
 
 
 def _capital(w: Column) -> Column:
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.expr("''") if w is None else F.substring(w, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
 
 
 def title_case(c: Column) -> Column:

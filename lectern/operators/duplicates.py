@@ -31,11 +31,6 @@ def keyed(bib: DataFrame) -> DataFrame:
     return bib.select("doc_id", F.inline(keys)).where("key is not null")
 
 
-def groups(bib: DataFrame) -> DataFrame:
-    """(priority, key, members): keys that two documents and more share."""
-    return keyed(bib).groupBy("priority", "key").agg(F.array_sort(F.collect_list("doc_id")).alias("members")).where(F.size("members") > 1)
-
-
 def in_groups(bib: DataFrame) -> DataFrame:
     """The keyed rows of shared keys, with the group's size and smallest member; no group is gathered in one row."""
     w = Window.partitionBy("priority", "key")

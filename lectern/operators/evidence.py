@@ -25,7 +25,7 @@ def retrieval_query(summary: Column, question: Column) -> Column:
 def public_name(path: Column) -> Column:
     """A file's name without the hash that managed storage appends."""
     name = F.nullif(F.trim(F.element_at(F.split(path, "/"), -1)), F.lit(""))
-    return F.when(F.lower(name).endswith(".pdf"), F.concat(F.regexp_replace(F.expr("''") if name is None else F.substr(name, F.lit(1), F.length(name) - 4), "--[0-9a-fA-F]{8,}$", ""), F.lit(".pdf"))).otherwise(name)
+    return F.when(F.lower(name).endswith(".pdf"), F.concat(F.regexp_replace(F.substr(name, F.lit(1), F.length(name) - 4), "--[0-9a-fA-F]{8,}$", ""), F.lit(".pdf"))).otherwise(name)
 
 
 def source_label(authors: Column, year: Column, path: Column, title: Column) -> Column:
@@ -57,7 +57,7 @@ def sources(evidence: DataFrame) -> DataFrame:
     shown = F.filter(F.transform("items", lambda x: x["pages"]), lambda x: x.isNotNull())
     label = F.col("items")[0]["label"]
     number = F.row_number().over(Window.orderBy("place"))  # a question's sources are a handful
-    return grouped.select(number.alias("source_number"), label.alias("label"), F.concat_ws(", ", label, F.nullif(F.array_join(shown, "; "), F.lit(""))).alias("citation"), F.transform("items", lambda x, i: F.concat(number.cast("string") if False else F.lit(""), passage_letter(i))).alias("passages"), "packets")
+    return grouped.select(number.alias("source_number"), label.alias("label"), F.concat_ws(", ", label, F.nullif(F.array_join(shown, "; "), F.lit(""))).alias("citation"), F.transform("items", lambda x, i: passage_letter(i)).alias("passages"), "packets")
 
 
 def within_budget(evidence: DataFrame, most: int = 14_000) -> DataFrame:

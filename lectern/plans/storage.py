@@ -202,7 +202,7 @@ _NUMBERS = Rows("raw:string top:int", ("1, 3,2", 3), ("4,9", 5), ("", 5), ("2,2,
 
 @query("p16_number_lists", f"""WITH {_NUMBERS.sql('t')} SELECT raw, list_sort(list_distinct(list_filter(list_transform(string_split(raw, ','), lambda x: TRY_CAST(trim(x) AS INTEGER)), lambda x: x BETWEEN 1 AND top))) AS picked FROM t""")
 def number_lists(spark, d):
-    parsed = F.transform(F.split("raw", ","), lambda x: F.expr("try_cast(null as int)") if x is None else F.trim(x).try_cast("int"))
+    parsed = F.transform(F.split("raw", ","), lambda x: F.trim(x).try_cast("int"))
     return _NUMBERS.frame(spark).select("raw", F.array_sort(F.array_distinct(F.filter(parsed, lambda x: x.between(F.lit(1), F.col("top"))))).alias("picked"))
 
 

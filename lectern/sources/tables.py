@@ -62,9 +62,6 @@ SQL_BIB = """bib AS (SELECT d.doc_id, sha256(d.text) AS sha, d.source || '/' ||
 SQL_VECTORS = """vectors AS (SELECT vec_id, vec_id // 5 AS doc_id, CAST(vec_id % 5 AS INTEGER) AS chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
 #: Chunk by chunk: cumulative ends of the words joined by blanks tell where the next break is.
-SQL_CHUNKS = """words AS (SELECT doc_id, ws, list_transform(range(0, len(ws)), lambda i: list_sum(list_transform(ws[1:i+1], lambda x: len(x))) + i) AS ends
-  FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents))"""
-
 SQL_CHUNKS = """pos AS (SELECT doc_id, i, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM (
     SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents))),
   folded AS (SELECT doc_id, list(w ORDER BY i) AS ws, list(e ORDER BY i) AS ends FROM pos GROUP BY doc_id),
