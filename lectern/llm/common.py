@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -62,14 +63,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def persist_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
+
+    The files stay until ``discard`` or ``release`` removes them, at the latest when the process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``persist_table`` returned and nothing reads any more."""
+    files = df.inputFiles()
+    for entry in [e for e in _written if files and any(f"/{e[1].rsplit('/', 2)[-2]}/" in f for f in files[:1])]:
+        _remove(*entry)
+        _written.remove(entry)
+
+
+def release() -> None:
+    """Remove all tables that the operators have written so far; their results must have been read or stored."""
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the session may be gone already
+        _written.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over an unsigned array."""
     with np.errstate(over="ignore"):

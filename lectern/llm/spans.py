@@ -2,7 +2,14 @@
 
 A word is a maximal run of non-white characters, compared exactly. A passage of ``MIN_WORDS``
 words that occurs at two places, in one document or in two, is a repeat; of all its places the
-one with the smallest (doc_id, position) is the original, the others are redundant.
+one with the smallest (doc_id, part, position) is the original, the others are redundant.
+
+``part`` tells apart different texts under one id (in the order of their hashes); it is 0 where
+ids are unique. Rows that repeat an id and a text are one text.
+
+Before places are shuffled by hash, each slice of about a million characters folds its own: of
+equal passages in a slice only the first is sent, the others are known to be redundant. So the
+rows that a hot passage sends to one task are as many as slices, not as documents.
 """
 
 from __future__ import annotations
@@ -12,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import flatten, like, pick, runs, word_hashes
+from lectern.llm.common import flatten, like, mix64, persist_table, pick, runs, word_hashes
 
 MIN_WORDS = 50
 _BATCH = 1 << 20
@@ -24,9 +31,34 @@ _WORD = re.compile(r"\S+")
 SPANS = "doc_id bigint, start_word int, end_word int, n_words int, n_cut int"
 
 
+#: A table of (id, text hash) pairs for ids with several texts is broadcast up to so many rows, 24 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` with ``part``: 0, 1, ... for the different texts of one id, null for rows without id or text.
+
+    One pass over hashes finds the ids that have several texts, usually none.
+    """
+    known = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    hashes = rows.where(known).select(F.col(id_col).cast("long").alias("__i"), F.xxhash64(text_col).alias("__t"))
+    several = hashes.groupBy("__i").agg(F.min("__t").alias("a"), F.max("__t").alias("b")).where("a <> b").select("__i")
+    n = several.count()
+    if not n:
+        return rows.withColumn("part", F.when(known, F.lit(0)))
+    small = F.broadcast if n <= BROADCAST_ROWS // 4 else (lambda df: df)
+    parts = hashes.join(small(several), "__i", "left_semi").distinct().withColumn("__p", F.row_number().over(Window.partitionBy("__i").orderBy("__t")) - 1)
+    parts = persist_table(parts.where("__p > 0"), "parts")
+    if parts.count() <= BROADCAST_ROWS:
+        parts = F.broadcast(parts)
+    joined = rows.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(text_col)}).join(parts, (F.col("__id") == F.col("__i")) & (F.col("__hash") == F.col("__t")), "left")
+    return joined.withColumn("part", F.when(known, F.coalesce("__p", F.lit(0)))).drop("__id", "__hash", "__i", "__t", "__p")
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Long id and text of the rows that have both; a repeat needs a document to be named by."""
-    return pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    """Long id, part and text of the rows that have both; a repeat needs a document to be named by."""
+    slim = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    return numbered(slim, "doc_id", "text").select("doc_id", "part", "text")
 
 
 def streams(ids: list[int], texts: list[str], extra: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray, list]]:
@@ -53,10 +85,55 @@ def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, position, np.repeat(counts, counts) - position
 
 
+#: What a slice has found out about a place: nothing, that its passage repeats in the slice, that it isn't the first.
+ALONE, FIRST, LATER = 0, 1, 2
+PLACES = "h bigint, doc_id bigint, at bigint, state tinyint"
+
+
+def folded(keys: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which places there are, in the order they came in, their states, and the keys to send them by (later ones anywhere).
+
+    A place is (id, at), ``at`` having the part in its upper and the position in its lower half. Repeated places are one.
+    """
+    order = np.lexsort((at, ids, *keys[::-1]))
+    if not len(order):
+        return order, np.zeros(0, np.int8), np.zeros(0, np.uint64)
+    ids, at = ids[order], at[order]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for key in keys:
+        k = key[order]
+        new[1:] |= k[1:] != k[:-1]
+    once = new.copy()
+    once[1:] |= (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])
+    order, new, ids, at = order[once], new[once], ids[once], at[once]
+    size = np.diff(np.append(np.flatnonzero(new), len(order)))
+    state = np.where(new, np.where(np.repeat(size, size) > 1, FIRST, ALONE), LATER).astype(np.int8)
+    spread = mix64(mix64(ids.view(np.uint64)) ^ at.view(np.uint64))
+    key = np.where(state == LATER, spread, keys[0][order])
+    back = np.argsort(order)  # the order of the text packs better
+    return order[back], state[back], key[back]
+
+
+def shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """The places (doc_id, at) whose keys occur at two; ``redundant`` but for the first. ``n``: places that met in the shuffle."""
+    place, by = F.struct("doc_id", "at"), Window.partitionBy(*keys, F.col("state") == LATER)
+    bounds = rows.withColumns({"first": F.min(place).over(by), "last": F.max(place).over(by), "n": F.count("*").over(by)})
+    return bounds.where("first <> last or state > 0").select("doc_id", "at", ((place > F.col("first")) | (F.col("state") == LATER)).alias("redundant"), "n")
+
+
+def part_of() -> Column:
+    return F.shiftright("at", 32).cast("int")
+
+
+def pos_of() -> Column:
+    return F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def collected(found: DataFrame) -> DataFrame:
-    """Fold (doc_id, s, e, redundant) into one row a document: places of any repeat, of redundant ones."""
+    """Fold (doc_id, part, s, e, redundant) into one row a text: places of any repeat, of redundant ones."""
     item: Column = F.struct("s", "e")
-    return found.groupBy("doc_id").agg(F.collect_list(item).alias("every"), F.collect_list(F.when(F.col("redundant"), item)).alias("cut"))
+    return found.groupBy("doc_id", "part").agg(F.collect_list(item).alias("every"), F.collect_list(F.when(F.col("redundant"), item)).alias("cut"))
 
 
 def _merged(places: np.ndarray) -> list[tuple[int, int]]:
@@ -96,7 +173,7 @@ def cut_documents(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
 
     A document of which nothing is left goes. Rows without id or text stay as they are.
     """
-    cuts = collected(found.where("redundant")).select(F.col("doc_id").alias("__doc"), F.col("cut").alias("__cut"))
+    cuts = collected(found.where("redundant")).select(F.col("doc_id").alias("__doc"), F.col("part").alias("__part"), F.col("cut").alias("__cut"))
 
     @F.pandas_udf("string")
     def shorten(text: pd.Series, cut: pd.Series) -> pd.Series:
@@ -104,9 +181,10 @@ def cut_documents(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
 
     flat, at = flatten(docs)
     text, long = at[text_col], F.col("__cut").isNotNull()
-    joined = flat.join(cuts, flat[at[id_col]].cast("long") == cuts["__doc"], "left").withColumn(text, F.when(long, shorten(text, "__cut")).otherwise(F.col(text)))
+    flat = numbered(flat, at[id_col], text)
+    joined = flat.join(cuts, (F.col(at[id_col]).cast("long") == F.col("__doc")) & (F.col("part") == F.col("__part")), "left").withColumn(text, F.when(long, shorten(text, "__cut")).otherwise(F.col(text)))
     joined = joined.where(~long | (F.trim(F.col(text)) != "") | F.col(text).isNull())
     if length_col in at:
-        kind = dict(flat.dtypes)[at[length_col]]
+        kind = dict(joined.dtypes)[at[length_col]]
         joined = joined.withColumn(at[length_col], F.when(long, F.length(text).cast(kind)).otherwise(F.col(at[length_col])))
     return like(joined, docs)

@@ -6,9 +6,11 @@ cover positions are hashed (6 of 31), and two equal passages of ``MIN_WORDS`` =
 - 1 words always share a hashed window at the same offset.
 
 Windows whose hash occurs once are dropped after one narrow shuffle. Around each shared anchor
-the match is extended to every passage of ``MIN_WORDS`` words that contains the anchor; the
-passages are told apart by their own 64-bit hashes, grouped instead of compared in pairs, so a
-passage that thousands of documents share costs rows in proportion, not their square.
+the match is extended to every passage of ``MIN_WORDS`` words that contains the anchor. The
+passages are told apart by hashes of 96 bits and grouped instead of compared in pairs, so a
+passage that thousands of documents share costs rows in proportion, not their square. Over 10^13
+passages the odds that any two different ones are taken for equal are below one in a thousand;
+64 bits would be wrong for sure.
 """
 
 from __future__ import annotations
@@ -17,65 +19,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Windows, persist_table, table
-from lectern.llm.spans import MIN_WORDS, cut_documents, merged_spans, places, streams, texts
+from lectern.llm.common import Windows, mix64, persist_table, table
+from lectern.llm.spans import MIN_WORDS, PLACES, cut_documents, folded, merged_spans, part_of, places, pos_of, shared, streams, texts
 
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-
-
-def shared(rows: DataFrame, key: str) -> DataFrame:
-    """The rows (key, doc_id, pos) whose key occurs at two different places; ``redundant`` but for the first."""
-    place, by = F.struct("doc_id", "pos"), Window.partitionBy(key)
-    bounds = rows.withColumn("first", F.min(place).over(by)).withColumn("last", F.max(place).over(by))
-    return bounds.where("first <> last").select("doc_id", "pos", (place > F.col("first")).alias("redundant"))
+_OTHER = np.uint64(0x6A09E667F3BCC909)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s, e, redundant): every passage of ``min_words`` words that occurs at two places."""
+    """(doc_id, part, s, e, redundant): every passage of ``min_words`` words that occurs at two places."""
     width = min_words - PERIOD + 1
     if width < 1:
         raise ValueError(f"a passage has at least {PERIOD} words")
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, counts, _, hashes, _ in streams(batch["doc_id"].tolist(), batch["text"].tolist()):
+            for ids, counts, _, hashes, parts in streams(batch["doc_id"].tolist(), batch["text"].tolist(), batch["part"].tolist()):
                 owner, position, left = places(counts)
                 at = np.flatnonzero(_IN_COVER[position % PERIOD] & (left >= width) & (counts[owner] >= min_words))
-                yield pd.DataFrame({"h": Windows(hashes).at(at, width).view(np.int64), "doc_id": ids[owner[at]], "pos": position[at].astype(np.int32)})
+                doc, code = ids[owner[at]], (np.array(parts, np.int64)[owner[at]] << 32) | position[at]
+                order, state, h = folded([Windows(hashes).at(at, width)], doc, code)
+                yield pd.DataFrame({"h": h.view(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, counts, _, hashes, marks in streams(batch["doc_id"].tolist(), batch["text"].tolist(), batch["at"].tolist()):
+            extra = list(zip(batch["part"].tolist(), batch["anchors"]))
+            for ids, counts, _, hashes, marks in streams(batch["doc_id"].tolist(), batch["text"].tolist(), extra):
                 owner, position, left = places(counts)
                 begins = np.cumsum(counts) - counts
                 near = np.zeros(len(owner) + 1, np.int64)
-                for b, n, at in zip(begins, counts, marks):
-                    at = np.asarray(at, np.int64)
-                    at = at[at < n]  # of rows that repeat an id, another text may have been meant
-                    np.add.at(near, b + np.maximum(at - PERIOD + 1, 0), 1)
-                    np.add.at(near, b + at + 1, -1)
+                for begin, (_, found) in zip(begins, marks):
+                    found = np.asarray(found, np.int64)
+                    np.add.at(near, begin + np.maximum(found - PERIOD + 1, 0), 1)
+                    np.add.at(near, begin + found + 1, -1)
                 at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (left >= min_words))
-                yield pd.DataFrame({"h": Windows(hashes).at(at, min_words).view(np.int64), "doc_id": ids[owner[at]], "pos": position[at].astype(np.int32)})
+                doc, code = ids[owner[at]], (np.array([m[0] for m in marks], np.int64)[owner[at]] << 32) | position[at]
+                first, second = Windows(hashes).at(at, min_words), Windows(mix64(hashes ^ _OTHER)).at(at, min_words)
+                order, state, h = folded([first, second], doc, code)
+                yield pd.DataFrame({"h": h.view(np.int64), "g": (second[order] >> np.uint64(32)).astype(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
 
     slim = texts(docs, id_col, text_col)
-    hashed = "h bigint, doc_id bigint, pos int"
-    marked = shared(slim.mapInPandas(anchors, hashed), "h").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    marked = shared(slim.mapInPandas(anchors, PLACES), "h").groupBy("doc_id", part_of().alias("part")).agg(F.collect_set(pos_of()).alias("anchors"))
     marked = persist_table(marked, "anchors")
-    found = slim.join(marked, "doc_id").select("doc_id", "text", "at").mapInPandas(passages, hashed)
-    return shared(found, "h").select("doc_id", F.col("pos").alias("s"), (F.col("pos") + min_words).alias("e"), "redundant")
+    found = slim.join(marked, ["doc_id", "part"]).select("doc_id", "part", "text", "anchors").mapInPandas(passages, PLACES + ", g bigint")
+    return shared(found, "h", "g").select("doc_id", part_of().alias("part"), pos_of().alias("s"), (pos_of() + min_words).alias("e"), "redundant")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeated spans, in words from 0: (doc_id, start_word, end_word, n_words, n_cut).
 
-    ``n_cut`` words of a span lie in a passage that occurred before, by (doc_id, position).
+    ``n_cut`` words of a span lie in a passage that occurred before, by (doc_id, part, position).
     Documents without a repeat aren't listed; neither are null, empty and short texts, or rows
-    without id. Rows that repeat an id and a text are one document and no repeat of each other.
+    without id. Rows that repeat an id and a text are one document and no repeat of each other;
+    different texts under one id are compared like any two, and the spans of each are listed.
     """
     return merged_spans(repeats(docs, min_words, id_col=id_col, text_col=text_col))
 

@@ -143,3 +143,47 @@ def test_many_copies_of_a_passage(spark):
     a = {tuple(r) for r in substring.repeated_spans(docs).collect()}
     assert a == {(i, 1, 56, 55, 55 if i else 0) for i in range(3000)}
     assert {tuple(r) for r in suffix_array.repeated_spans(docs).collect()} == a
+
+
+@pytest.mark.parametrize("operator", [substring, suffix_array])
+def test_two_texts_under_one_id(spark, operator):
+    """Different texts of one id are told apart: their places are, and a cut in one leaves the other alone."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, passage), (1, other), (2, "x y " + passage)], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in operator.repeated_spans(docs).collect())
+    assert got == [(1, 0, 60, 60, 0), (2, 2, 62, 60, 60)]
+    if operator is substring:
+        assert sorted(r.text for r in substring.deduplicated(docs).collect()) == sorted([passage, other, "x y"])
+    both = spark.createDataFrame([(7, "a " + passage), (7, "b " + passage)], "doc_id bigint, text string")
+    assert sorted(r.n_cut for r in operator.repeated_spans(both).collect()) == [0, 60]
+
+
+@pytest.mark.parametrize("operator", [substring, suffix_array])
+def test_repeats_inside_a_very_long_text(spark, operator):
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(77))
+    words = [str(r.random()) for _ in range(150_000)]
+    text = " ".join([*words[:400], passage, *words[400:140_000], passage, *words[140_000:]])
+    got = {tuple(x) for x in operator.repeated_spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()}
+    assert got == {(1, 400, 477, 77, 0), (1, 140_077, 140_154, 77, 77)}
+
+
+def test_hot_minimizers_are_cut_once_more(spark):
+    docs = corpus(4)
+    expected, _ = brute(docs, 50)
+    from lectern.llm.spans import merged_spans
+
+    found = suffix_array.repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(20), hot=1)
+    assert {tuple(r) for r in merged_spans(found).collect()} == expected
+
+
+def test_folding_a_slice():
+    from lectern.llm.spans import ALONE, FIRST, LATER, folded
+
+    key = np.array([5, 5, 9, 5, 5], np.uint64)
+    ids, at = np.array([2, 1, 1, 3, 1]), np.array([0, 4, 0, 1, 4])
+    order, state, spread = folded([key], ids, at)
+    got = {(int(ids[i]), int(at[i])): (int(s), int(k)) for i, s, k in zip(order, state, spread)}
+    assert got.keys() == {(1, 4), (2, 0), (3, 1), (1, 0)} and len(order) == 4
+    assert got[1, 4] == (FIRST, 5) and got[1, 0] == (ALONE, 9) and got[2, 0][0] == got[3, 1][0] == LATER
