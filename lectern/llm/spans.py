@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import flatten, like, mix64, persist_table, pick, runs, word_hashes
+from lectern.llm.common import flatten, like, persist_table, pick, runs, word_hashes
 
 MIN_WORDS = 50
 _BATCH = 1 << 20
@@ -90,14 +90,14 @@ ALONE, FIRST, LATER = 0, 1, 2
 PLACES = "h bigint, doc_id bigint, at bigint, state tinyint"
 
 
-def folded(keys: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which places there are, in the order they came in, their states, and the keys to send them by (later ones anywhere).
+def folded(keys: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places there are, in the order they came in, and their states.
 
     A place is (id, at), ``at`` having the part in its upper and the position in its lower half. Repeated places are one.
     """
     order = np.lexsort((at, ids, *keys[::-1]))
     if not len(order):
-        return order, np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        return order, np.zeros(0, np.int8)
     ids, at = ids[order], at[order]
     new = np.zeros(len(order), bool)
     new[0] = True
@@ -106,20 +106,24 @@ def folded(keys: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.
         new[1:] |= k[1:] != k[:-1]
     once = new.copy()
     once[1:] |= (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])
-    order, new, ids, at = order[once], new[once], ids[once], at[once]
+    order, new = order[once], new[once]
     size = np.diff(np.append(np.flatnonzero(new), len(order)))
     state = np.where(new, np.where(np.repeat(size, size) > 1, FIRST, ALONE), LATER).astype(np.int8)
-    spread = mix64(mix64(ids.view(np.uint64)) ^ at.view(np.uint64))
-    key = np.where(state == LATER, spread, keys[0][order])
     back = np.argsort(order)  # the order of the text packs better
-    return order[back], state[back], key[back]
+    return order[back], state[back]
+
+
+def spread(key: str) -> Column:
+    """What to shuffle by: the key, but for later places, which meet nothing, a hash of their own."""
+    return F.when(F.col("state") == LATER, F.xxhash64("doc_id", "at")).otherwise(F.col(key))
 
 
 def shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The places (doc_id, at) whose keys occur at two; ``redundant`` but for the first. ``n``: places that met in the shuffle."""
-    place, by = F.struct("doc_id", "at"), Window.partitionBy(*keys, F.col("state") == LATER)
-    bounds = rows.withColumns({"first": F.min(place).over(by), "last": F.max(place).over(by), "n": F.count("*").over(by)})
-    return bounds.where("first <> last or state > 0").select("doc_id", "at", ((place > F.col("first")) | (F.col("state") == LATER)).alias("redundant"), "n")
+    """The places (doc_id, at, first key) whose keys occur at two; ``redundant`` but for the first. ``n``: places that met in the shuffle."""
+    later = F.col("state") == LATER
+    place, by = F.struct("doc_id", "at"), Window.partitionBy("__to", *keys[1:], later)
+    bounds = rows.withColumn("__to", spread(keys[0])).withColumns({"first": F.min(place).over(by), "last": F.max(place).over(by), "n": F.count("*").over(by)})
+    return bounds.where("first <> last or state > 0").select("doc_id", "at", ((place > F.col("first")) | later).alias("redundant"), "n", keys[0])
 
 
 def part_of() -> Column:

@@ -43,8 +43,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 owner, position, left = places(counts)
                 at = np.flatnonzero(_IN_COVER[position % PERIOD] & (left >= width) & (counts[owner] >= min_words))
                 doc, code = ids[owner[at]], (np.array(parts, np.int64)[owner[at]] << 32) | position[at]
-                order, state, h = folded([Windows(hashes).at(at, width)], doc, code)
-                yield pd.DataFrame({"h": h.view(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
+                h = Windows(hashes).at(at, width)
+                order, state = folded([h], doc, code)
+                yield pd.DataFrame({"h": h[order].view(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -60,8 +61,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (left >= min_words))
                 doc, code = ids[owner[at]], (np.array([m[0] for m in marks], np.int64)[owner[at]] << 32) | position[at]
                 first, second = Windows(hashes).at(at, min_words), Windows(mix64(hashes ^ _OTHER)).at(at, min_words)
-                order, state, h = folded([first, second], doc, code)
-                yield pd.DataFrame({"h": h.view(np.int64), "g": (second[order] >> np.uint64(32)).astype(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
+                order, state = folded([first, second], doc, code)
+                yield pd.DataFrame({"h": first[order].view(np.int64), "g": (second[order] >> np.uint64(32)).astype(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
 
     slim = texts(docs, id_col, text_col)
     marked = shared(slim.mapInPandas(anchors, PLACES), "h").groupBy("doc_id", part_of().alias("part")).agg(F.collect_set(pos_of()).alias("anchors"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Windows, mix64, persist_table, table
-from lectern.llm.spans import FIRST, LATER, MIN_WORDS, PLACES, folded, merged_spans, part_of, places, pos_of, shared, streams, texts
+from lectern.llm.spans import BROADCAST_ROWS, FIRST, LATER, MIN_WORDS, PLACES, folded, merged_spans, part_of, places, pos_of, shared, spread, streams, texts
 
 ANCHOR = 10
 #: Words sorted in one suffix array, unless the runs of one minimizer alone have more.
@@ -242,8 +242,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 _, _, m = minimizers(counts, h)
                 owner, position, _ = places(counts)
                 doc, code = ids[owner[m]], (np.array(parts, np.int64)[owner[m]] << 32) | position[m]
-                order, state, key = folded([h[m]], doc, code)
-                yield pd.DataFrame({"h": key.view(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
+                order, state = folded([h[m]], doc, code)
+                yield pd.DataFrame({"h": h[m][order].view(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
 
     def split(h: np.ndarray, a: int, b: int, m: int) -> Iterator[tuple[int, int, np.uint64]]:
         """A run of a hot minimizer, cut where the largest window of its passages changes; each part with a key of both."""
@@ -274,9 +274,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 run = ["\n".join(words[x : y + min_words]) for x, y in zip(a.tolist(), b.tolist())]
                 same = pd.factorize(np.array(run, dtype=object))[0].astype(np.uint64) if run else np.zeros(0, np.uint64)
                 doc, code = ids[owner[a]], (np.array([r[0] for r in marks], np.int64)[owner[a]] << 32) | position[a]
-                order, state, spread = folded([key, same], doc, code)
+                order, state = folded([key, same], doc, code)
                 size = (b - a)[order] + min_words
-                yield pd.DataFrame({"h": spread.view(np.int64), "doc_id": doc[order], "at": code[order], "state": state, "n": size.astype(np.int32), "run": [run[i] if st != LATER else None for i, st in zip(order.tolist(), state.tolist())]})
+                yield pd.DataFrame({"h": key[order].view(np.int64), "doc_id": doc[order], "at": code[order], "state": state, "n": size.astype(np.int32), "run": [run[i] if st != LATER else None for i, st in zip(order.tolist(), state.tolist())]})
 
     def sort_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: list[tuple[str, np.ndarray, bool]] = []
@@ -317,10 +317,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
             yield found
 
     slim = texts(docs, id_col, text_col)
-    marked = shared(slim.mapInPandas(anchors, PLACES), "h").groupBy("doc_id", part_of().alias("part"))
-    marked = persist_table(marked.agg(F.collect_set(pos_of()).alias("anchors"), F.collect_set(F.when(F.col("n") > hot, pos_of())).alias("hot")), "minimizers")
-    runs = slim.join(marked, ["doc_id", "part"]).select("doc_id", "part", "text", "anchors", "hot").mapInPandas(cut_runs, PLACES + ", n int, run string")
-    return runs.repartition("h").sortWithinPartitions("h").mapInPandas(sort_shards, "doc_id bigint, part int, s int, e int, redundant boolean")
+    marked = persist_table(shared(slim.mapInPandas(anchors, PLACES), "h").select("doc_id", "at", "h", "n"), "minimizers")
+    burning = marked.where(F.col("n") > hot).select("h").distinct()
+    n = burning.count()
+    if n:
+        burning = burning.withColumn("hot", F.lit(True))
+        marked = marked.join(F.broadcast(burning) if n <= BROADCAST_ROWS else burning, "h", "left")
+    else:
+        marked = marked.withColumn("hot", F.lit(False))
+    by_text = marked.groupBy("doc_id", part_of().alias("part")).agg(F.collect_set(pos_of()).alias("anchors"), F.collect_set(F.when(F.col("hot"), pos_of())).alias("hot"))
+    runs = slim.join(by_text, ["doc_id", "part"]).select("doc_id", "part", "text", "anchors", "hot").mapInPandas(cut_runs, PLACES + ", n int, run string")
+    runs = runs.withColumn("h", spread("h")).repartition("h").sortWithinPartitions("h")
+    return runs.mapInPandas(sort_shards, "doc_id bigint, part int, s int, e int, redundant boolean")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
