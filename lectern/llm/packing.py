@@ -1,11 +1,12 @@
 """Operator 5, packing: shortest-pack-first over the length histogram.
 
 The plan is made from the histogram of lengths alone: lengths are placed longest first, each
-into the open packs with the least room used that still take it, a whole count of equal packs
-at a time. The result is a table of patterns (multisets of lengths) with counts; its size
-depends on the capacity, not on the corpus. Documents meet their pattern by rank: the r-th
-piece of a length goes to the slot whose rank range holds r. Ranks need no global sort; they
-are row numbers within (length, bucket of the id) plus counted offsets.
+copy into the open pack with the least room used, if it has room left; all packs of one fill
+level take their copies together. The result is a table of patterns (runs of lengths) with
+counts; its size depends on the capacity, not on the corpus, and it equals what placing one
+document after the other gives. Documents meet their pattern by rank: the r-th piece of a length
+goes to the slot whose rank range holds r. Ranks need no global sort; they are row numbers within
+(length, bucket of the id) plus counted offsets, and the number of buckets follows the count.
 
 Nothing is truncated: a document longer than the capacity fills whole packs of its own, and
 its rest is packed like any other piece.
@@ -13,6 +14,7 @@ its rest is packed like any other piece.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,57 +26,79 @@ from pyspark.sql import functions as F
 from lectern.llm.common import persist_table, pick, table
 
 CAPACITY = 2048
-BUCKETS = 64
+#: Documents in a bucket, about: what one task numbers of a length that all documents have.
+BUCKET_ROWS = 50_000
 
 RESULT = "pack_id bigint, slot int, doc_id bigint, piece int, start_word int, n_words int, pack_words int"
 
+#: A pattern: how often each length is in the pack, in the order of placing.
+Runs = tuple[tuple[int, int], ...]
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in order of placing) and how many packs have each.
 
-    Lengths go longest first. Among the open patterns that have room the shortest, i.e. the one
-    with the fewest words so far, takes the length; of equals the one opened first. If none
-    has room, packs are opened and filled with the length as far as it goes.
+def _more(runs: Runs, length: int, times: int) -> Runs:
+    if runs and runs[-1][0] == length:
+        return runs[:-1] + ((length, runs[-1][1] + times),)
+    return runs + ((length, times),)
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[Runs, int]]:
+    """Patterns and how many packs have each, in the order of opening.
+
+    Lengths go longest first, copy by copy. Of the open packs the shortest, i.e. the one with the
+    fewest words so far, takes the copy; of equals the one opened first. If it has no room, none
+    has, and a pack is opened.
     """
-    open_by: dict[int, list[list]] = defaultdict(list)  # words used -> [pattern, count]
+    levels: dict[int, list[tuple[int, int, Runs]]] = defaultdict(list)  # words used -> (first pack, packs, pattern)
+    heap: list[int] = []
+    opened = 0
+
+    def put(used: int, entry: tuple[int, int, Runs]) -> None:
+        if not levels[used]:
+            heapq.heappush(heap, used)
+        levels[used].append(entry)
+
     for length in sorted(histogram, reverse=True):
         todo = histogram[length]
         while todo:
-            used = min((u for u, group in open_by.items() if group and u + length <= capacity), default=None)
-            if used is None:  # new packs take as many of this length as they have room for
-                fit = capacity // length
+            while heap and not levels[heap[0]]:
+                heapq.heappop(heap)
+            if not heap or heap[0] + length > capacity:
+                fit = capacity // length  # a new pack stays the shortest until it is full
                 for times, count in ((fit, todo // fit), (todo % fit, 1)):
                     if times and count:
-                        open_by[length * times].append([(length,) * times, count])
+                        put(length * times, (opened, count, ((length, times),)))
+                        opened += count
                 break
-            pattern, count = open_by[used][0]
-            fit = min((capacity - used) // length, -(-todo // count)) or 1
-            if todo >= count * fit:
-                taken, times = count, fit
-            else:
-                times = max(1, todo // count)
-                taken = min(count, todo) if times == 1 else count
-            if taken == count:
-                open_by[used].pop(0)
-            else:
-                open_by[used][0][1] -= taken
-            open_by[used + length * times].append([pattern + (length,) * times, taken])
-            todo -= taken * times
-    return [(tuple(p), c) for used in sorted(open_by, reverse=True) for p, c in open_by[used]]
-
-
-def slots(patterns: list[tuple[tuple[int, ...], int]], first_pack: int = 0) -> pd.DataFrame:
+            used = heapq.heappop(heap)
+            entries = sorted(levels.pop(used))
+            while heap and not levels[heap[0]]:
+                heapq.heappop(heap)
+            packs = sum(count for _, count, _ in entries)
+            times = min((capacity - used) // length, todo // packs, -(-(heap[0] - used) // length) if heap else todo)
+            if times:  # the whole level, until it meets the next
+                for first, count, runs in entries:
+                    put(used + length * times, (first, count, _more(runs, length, times)))
+                todo -= packs * times
+                continue
+            for first, count, runs in entries:
+                taken = min(count, todo)
+                if taken:
+                    put(used + length, (first, taken, _more(runs, length, 1)))
+                if taken < count:
+                    put(used, (first + taken, count - taken, runs))
+                todo -= taken
+    return [(runs, count) for _, count, runs in sorted(e for entries in levels.values() for e in entries)]
+
+
+def slots(patterns: list[tuple[Runs, int]], first_pack: int = 0) -> pd.DataFrame:
     """One row for each (pattern, length in it): the ranks of that length which it takes, and where they go."""
     taken: dict[int, int] = defaultdict(int)
     rows, base = [], first_pack
-    for pattern, count in patterns:
-        at = 0
-        while at < len(pattern):
-            times = 1
-            while at + times < len(pattern) and pattern[at + times] == pattern[at]:
-                times += 1
-            rows.append((pattern[at], taken[pattern[at]], count * times, times, base, at, sum(pattern)))
-            taken[pattern[at]] += count * times
+    for runs, count in patterns:
+        at, total = 0, sum(length * times for length, times in runs)
+        for length, times in runs:
+            rows.append((length, taken[length], count * times, times, base, at, total))
+            taken[length] += count * times
             at += times
         base += count
     out = pd.DataFrame(rows, columns=["n_words", "first_rank", "ranks", "times", "base", "slot", "pack_words"]).astype("int64")
@@ -98,19 +122,22 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, *, id_col: str = "doc_id",
     n = word_count(F.col("text")).cast("int")
     long = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), n.alias("n"), F.xxhash64("text").alias("tie")).where("n > 0")
     lengths = persist_table(long, "lengths")
-    rest = lengths.withColumn("n_words", F.col("n") % capacity).where("n_words > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
-    counts = rest.groupBy("n_words", "bucket").count().toPandas().sort_values(["n_words", "bucket"], ignore_index=True)
-    counts["offset"] = counts.groupby("n_words")["count"].cumsum() - counts["count"]
-    where = slots(plan({int(k): int(v) for k, v in counts.groupby("n_words")["count"].sum().items()}, capacity))
+    buckets = max(16, -(-lengths.count() // BUCKET_ROWS))
+    bucketed = lengths.withColumns({"bucket": F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"), "n_words": F.col("n") % capacity})
+    rest = bucketed.where("n_words > 0")
+    counts = rest.groupBy("n_words", "bucket").count()
+    offsets = counts.select("n_words", "bucket", F.coalesce(F.sum("count").over(Window.partitionBy("n_words").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    histogram = rest.groupBy("n_words").count().toPandas()  # fewer rows than the capacity
+    where = slots(plan(dict(zip(histogram["n_words"].tolist(), histogram["count"].tolist())), capacity))
     planned = int((where["base"] + where["ranks"] // where["times"]).max()) if len(where) else 0
-    held = spark.sparkContext.broadcast((where, counts.set_index(["n_words", "bucket"])["offset"].to_dict()))
+    held = spark.sparkContext.broadcast(where)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, offsets = held.value
+        table = held.value
         key = table["n_words"].to_numpy() * (1 << 44) + table["first_rank"].to_numpy()
         for batch in batches:
             size = batch["n_words"].to_numpy(np.int64)
-            rank = batch["rn"].to_numpy(np.int64) - 1 + np.array([offsets[k] for k in zip(size.tolist(), batch["bucket"].tolist())], np.int64)
+            rank = batch["rank"].to_numpy(np.int64)
             row = table.iloc[np.searchsorted(key, size * (1 << 44) + rank, "right") - 1]
             inside, times = rank - row["first_rank"].to_numpy(), row["times"].to_numpy()
             yield pd.DataFrame({
@@ -118,15 +145,15 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, *, id_col: str = "doc_id",
                 "piece": (batch["n"].to_numpy() // capacity).astype(np.int32), "start_word": (batch["n"].to_numpy() - size).astype(np.int32), "n_words": size.astype(np.int32), "pack_words": row["pack_words"].to_numpy().astype(np.int32),
             })
 
-    ranked = rest.withColumn("rn", F.row_number().over(Window.partitionBy("n_words", "bucket").orderBy("doc_id", "n", "tie")))
-    small = ranked.select("doc_id", "n", "n_words", "bucket", "rn").mapInPandas(place, RESULT)
-    # whole-capacity pieces: numbered by the same counted offsets
-    full = lengths.where(F.col("n") >= capacity).withColumn("k", F.floor(F.col("n") / capacity).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
-    sums = full.groupBy("bucket").agg(F.sum("k").alias("k")).toPandas().sort_values("bucket", ignore_index=True)
-    first = dict(zip(sums["bucket"].tolist(), (sums["k"].cumsum() - sums["k"] + planned).tolist()))
+    by = Window.partitionBy("n_words", "bucket").orderBy("doc_id", "n", "tie")
+    ranked = rest.withColumn("rn", F.row_number().over(by)).join(offsets, ["n_words", "bucket"])
+    small = ranked.select("doc_id", "n", "n_words", (F.col("rn") - 1 + F.col("offset")).alias("rank")).mapInPandas(place, RESULT)
+    # whole-capacity pieces: numbered by the same counted offsets; sums by bucket are few rows
+    full = bucketed.where(F.col("n") >= capacity).withColumn("k", F.floor(F.col("n") / capacity).cast("long"))
+    preceding = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = full.groupBy("bucket").agg(F.sum("k").alias("k")).select("bucket", (F.coalesce(F.sum("k").over(preceding), F.lit(0)) + planned).alias("base"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("bucket").orderBy("doc_id", "n", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("bucket")] if first else F.lit(planned)
-    big = full.withColumn("first", (at + before).cast("long")).select("doc_id", "first", F.posexplode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias("piece", "p"))
+    big = full.withColumn("before", before).join(first, "bucket").select("doc_id", (F.col("base") + F.col("before")).alias("first"), F.posexplode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias("piece", "p"))
     big = big.select((F.col("first") + F.col("piece")).alias("pack_id"), F.lit(0).alias("slot"), "doc_id", "piece", (F.col("piece") * capacity).cast("int").alias("start_word"), F.lit(capacity).alias("n_words"), F.lit(capacity).alias("pack_words"))
     return small.unionByName(big)
 

@@ -7,7 +7,7 @@ one with the smallest (doc_id, part, position) is the original, the others are r
 ``part`` tells apart different texts under one id (in the order of their hashes); it is 0 where
 ids are unique. Rows that repeat an id and a text are one text.
 
-Before places are shuffled by hash, each slice of about a million characters folds its own: of
+Before places are shuffled by hash, each slice of about half a million characters folds its own: of
 equal passages in a slice only the first is sent, the others are known to be redundant. So the
 rows that a hot passage sends to one task are as many as slices, not as documents.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import flatten, like, persist_table, pick, runs, word_hashes
 
 MIN_WORDS = 50
-_BATCH = 1 << 20
+_BATCH = 1 << 19
 _WORD = re.compile(r"\S+")
 
 SPANS = "doc_id bigint, start_word int, end_word int, n_words int, n_cut int"
@@ -118,12 +118,18 @@ def spread(key: str) -> Column:
     return F.when(F.col("state") == LATER, F.xxhash64("doc_id", "at")).otherwise(F.col(key))
 
 
-def shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The places (doc_id, at, first key) whose keys occur at two; ``redundant`` but for the first. ``n``: places that met in the shuffle."""
-    later = F.col("state") == LATER
-    place, by = F.struct("doc_id", "at"), Window.partitionBy("__to", *keys[1:], later)
-    bounds = rows.withColumn("__to", spread(keys[0])).withColumns({"first": F.min(place).over(by), "last": F.max(place).over(by), "n": F.count("*").over(by)})
-    return bounds.where("first <> last or state > 0").select("doc_id", "at", ((place > F.col("first")) | later).alias("redundant"), "n", keys[0])
+def shared(rows: DataFrame, *keys: str, named: bool = False) -> DataFrame:
+    """The places (doc_id, at) whose keys occur at two; ``redundant`` but for the first.
+
+    ``named`` adds the first key and ``n``, the number of places that met in the shuffle.
+    """
+    later, to = F.col("state") == LATER, "__to" if named else keys[0]
+    place, by = F.struct("doc_id", "at"), Window.partitionBy(to, *keys[1:], later)
+    bounds = rows.withColumn(to, spread(keys[0])).withColumns({"first": F.min(place).over(by), "last": F.max(place).over(by)})
+    more = [keys[0], "n"] if named else []
+    if named:
+        bounds = bounds.withColumn("n", F.count("*").over(by))
+    return bounds.where("first <> last or state > 0").select("doc_id", "at", ((place > F.col("first")) | later).alias("redundant"), *more)
 
 
 def part_of() -> Column:

@@ -317,7 +317,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
             yield found
 
     slim = texts(docs, id_col, text_col)
-    marked = persist_table(shared(slim.mapInPandas(anchors, PLACES), "h").select("doc_id", "at", "h", "n"), "minimizers")
+    marked = persist_table(shared(slim.mapInPandas(anchors, PLACES), "h", named=True).select("doc_id", "at", "h", "n"), "minimizers")
     burning = marked.where(F.col("n") > hot).select("h").distinct()
     n = burning.count()
     if n:
