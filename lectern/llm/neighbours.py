@@ -191,9 +191,9 @@ def _one_dimension(base: DataFrame, dim: int, k: int, target: float, every: int)
 
     def rotate(batches):
         for batch in batches:
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": list((np.stack(batch["v"].to_numpy()) @ turn).astype(np.float32))})
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": list(np.stack(batch["v"].to_numpy()) @ turn)})
 
-    points = persist_table(base.mapInPandas(rotate, "vec_id bigint, v array<float>"), "points")
+    points = persist_table(base.mapInPandas(rotate, "vec_id bigint, v array<double>"), "points")
     n = points.count()
     if n < 2:
         return None
@@ -210,7 +210,7 @@ def _one_dimension(base: DataFrame, dim: int, k: int, target: float, every: int)
             near = np.concatenate([_squared(x[s : s + 4096].astype(float), held.value).argmin(axis=1) for s in range(0, len(x), 4096)])
             yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "list": near.astype(np.int32)})
 
-    salted = points.mapInPandas(assign, "vec_id bigint, v array<float>, list int").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)))
+    salted = points.mapInPandas(assign, "vec_id bigint, v array<double>, list int").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)))
     placed = persist_table(salted, "placed")
     sizes = np.zeros(len(centres), np.int64)
     for row in placed.groupBy("list").count().collect():  # one row a list
@@ -262,13 +262,13 @@ def _one_dimension(base: DataFrame, dim: int, k: int, target: float, every: int)
         return pd.DataFrame({"q": left["q"].to_numpy()[i], "vec_id": names[i], "neighbour_id": j, "distance": d})
 
     def searched(asked: DataFrame, home: bool) -> DataFrame:
-        sent = persist_table(asked.mapInPandas(route(home), "shard bigint, q bigint, vec_id bigint, bound double, v array<float>, lists array<int>"), "sent")
+        sent = persist_table(asked.mapInPandas(route(home), "shard bigint, q bigint, vec_id bigint, bound double, v array<double>, lists array<int>"), "sent")
         cells = np.zeros(n // SHARD + 1, np.int64)  # a number for every 8192 vectors
         for row in sent.groupBy("shard").count().collect():
             cells[row["shard"]] = -(-row["count"] // CELL)
         share = spark.createDataFrame(pd.DataFrame({"shard": np.flatnonzero(cells), "cells": cells[cells > 0]}), "shard bigint, cells bigint")
         by_cell = sent.join(F.broadcast(share), "shard").withColumn("cell", F.pmod(F.xxhash64("q"), F.col("cells"))).drop("cells")
-        theirs = placed.select("vec_id", "list", "salt", "v").mapInPandas(members(cells), "shard bigint, cell bigint, vec_id bigint, list int, v array<float>")
+        theirs = placed.select("vec_id", "list", "salt", "v").mapInPandas(members(cells), "shard bigint, cell bigint, vec_id bigint, list int, v array<double>")
         return by_cell.groupBy("shard", "cell").cogroup(theirs.groupBy("shard", "cell")).applyInPandas(search, "q bigint, " + FOUND)
 
     own = persist_table(searched(queries.withColumn("bound", F.lit(float("inf"))), True), "own")

@@ -49,66 +49,59 @@ def measures(slim: DataFrame) -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Votes on the measures of a text that isn't blank."""
+    """Votes on the measures of a text that isn't blank. Every rule may abstain: where the text is too short to tell, or between its bounds."""
     c = F.col
 
-    def vote(bad: Column, good: Column | None = None) -> Column:
-        out = F.when(bad, -1)
-        return (out if good is None else out.when(good, 1)).otherwise(0).cast("tinyint")
+    def vote(bad: Column, good: Column) -> Column:
+        return F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
 
+    enough = c("n") >= 10
     return {
         "v_length": vote(c("n") < 3, c("n") >= 20),
         "v_letters": vote(c("letters") < 0.68, c("letters") >= 0.76),
         "v_variety": vote((c("n") >= 20) & (c("variety") < 0.25), (c("n") >= 20) & (c("variety") > 0.4)),
         "v_stopwords": vote((c("n") >= 20) & (c("stops") < 1), c("stops") >= 2),
-        "v_symbols": vote(c("symbols") > 0.02),
-        "v_capitals": vote((c("capitals") > 0.2) & (c("n") >= 5)),
-        "v_shouts": vote(c("shouts") > 0.01),
-        "v_lines": vote((c("n_lines") >= 4) & (c("line_variety") < 0.7)),
-        "v_stutter": vote((c("n") >= 10) & (c("stutter") > 0.15)),
+        "v_symbols": vote(c("symbols") > 0.02, enough & (c("symbols") < 0.005)),
+        "v_capitals": vote((c("capitals") > 0.2) & (c("n") >= 5), enough & (c("capitals") < 0.1)),
+        "v_shouts": vote(c("shouts") > 0.01, enough & (c("shouts") < 0.002)),
+        "v_lines": vote((c("n_lines") >= 4) & (c("line_variety") < 0.7), (c("n_lines") >= 2) & (c("line_variety") > 0.9)),
+        "v_stutter": vote(enough & (c("stutter") > 0.15), enough & (c("stutter") < 0.05)),
     }
 
 
-#: Rules that may vote either way; not to vote says nothing.
-BOTH_WAYS = ("v_length", "v_letters", "v_variety", "v_stopwords")
-#: Rules that object or don't; not to object counts.
-OBJECTING = ("v_symbols", "v_capitals", "v_shouts", "v_lines", "v_stutter")
-RULES = BOTH_WAYS + OBJECTING
+RULES = ("v_length", "v_letters", "v_variety", "v_stopwords", "v_symbols", "v_capitals", "v_shouts", "v_lines", "v_stutter")
 
 
 def estimate(patterns: pd.DataFrame, rounds: int = 50) -> tuple[float, np.ndarray]:
     """EM over vote patterns with a ``count``: the share of good documents and (class, rule, vote) probabilities.
 
-    Given the truth, votes are independent. Class 0 is bad, 1 good; votes are in the order
-    bad, abstain, good; a kind of vote that a rule doesn't have weighs nothing. It begins from the balance of votes, one against weighing more than one
-    for. Without documents everything is as likely as it is not.
+    Given the truth, votes are independent. Class 0 is bad, 1 good; votes are in the order bad,
+    abstain, good. Not to vote says nothing: of the votes that were cast, the shares are
+    estimated, and the abstentions' column is 1. It begins from the balance of votes, one against
+    weighing more than one for. Without documents everything is as likely as it is not.
     """
     votes = patterns[list(RULES)].to_numpy(int)
     weight = patterns["count"].to_numpy(float)
     if not weight.sum():
-        return 0.5, np.full((2, len(RULES), 3), 1 / 3)
+        return 0.5, np.tile([0.5, 1.0, 0.5], (2, len(RULES), 1))
     good = 1 / (1 + np.exp(-(1.0 + 0.4 * (votes > 0).sum(1) - 2.0 * (votes < 0).sum(1))))
-    kinds = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    possible = np.ones((len(RULES), 3))
-    possible[: len(BOTH_WAYS), 1] = possible[len(BOTH_WAYS) :, 2] = 0
-    kinds *= possible
+    cast = np.stack([votes == -1, votes == 1], axis=2).astype(float)
     for _ in range(rounds):
         by_class = np.stack([weight * (1 - good), weight * good])
-        table_ = np.einsum("cp,prv->crv", by_class, kinds) + SMOOTHING
-        table_ /= (table_ * possible).sum(axis=2, keepdims=True)
-        table_[:, possible == 0] = 1  # of no weight
+        share = np.einsum("cp,prv->crv", by_class, cast) + SMOOTHING
+        share /= share.sum(axis=2, keepdims=True)
         prior = float((by_class[1].sum() + 1) / (weight.sum() + 2))
-        odds = np.log(prior / (1 - prior)) + np.einsum("prv,rv->p", kinds, np.log(table_[1]) - np.log(table_[0]))
+        odds = np.log(prior / (1 - prior)) + np.einsum("prv,rv->p", cast, np.log(share[1]) - np.log(share[0]))
         good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    return prior, table_
+    return prior, np.stack([share[..., 0], np.ones(share.shape[:2]), share[..., 1]], axis=2)
 
 
 def assessed(docs: DataFrame, keep: float = KEEP, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, one column a rule, p_quality, keep) for every row, repeats included.
 
     Null, empty and blank texts get the vote -1 of the length rule and abstentions; they take
-    part in the counts. Without any votes the posterior is the prior. Null ids pass through;
-    other columns are dropped.
+    part in the counts. Without any votes the posterior is the prior. A posterior of just ``keep``
+    keeps the document. Null ids pass through; other columns are dropped.
     """
     slim = pick(docs, doc_id=id_col, text=text_col)
     votes = measures(slim).select("doc_id", *[F.when(F.col("blank"), F.lit(-1 if name == "v_length" else 0).cast("tinyint")).otherwise(v).alias(name) for name, v in rules().items()])

@@ -126,7 +126,11 @@ def train(texts: list[str], toxic: list[int], seeds: tuple[int, ...] = SEEDS, bu
     flat, owners = subwords(list(vocabulary), buckets)
     flat = flat[np.argsort(owners, kind="stable")].astype(np.int32)
     sizes = np.bincount(owners, minlength=len(vocabulary))
-    parts = [_train(ids, np.array(labels), flat, sizes, seed, buckets, dim, epochs, rate) for seed in seeds]
+    return side_by_side([_train(ids, np.array(labels), flat, sizes, seed, buckets, dim, epochs, rate) for seed in seeds])
+
+
+def side_by_side(parts: list[Model]) -> Model:
+    """One model of several: their columns next to each other, the logit their mean."""
     return Model(np.concatenate([m.rows for m in parts], axis=1), np.concatenate([m.weight for m in parts]) / len(parts), float(np.mean([m.bias for m in parts])))
 
 
@@ -189,14 +193,23 @@ def _train(ids: list[np.ndarray], labels: np.ndarray, flat: np.ndarray, sizes: n
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most ``per_class`` labelled whole documents of each class, chosen by hash of the id.
 
-    Rows without id, text or label are not trained on.
+    Rows without id, text or label are not trained on; an id with both labels is toxic. Each
+    random beginning is trained by a task of its own; only the models come to the driver.
     """
     marks = pick(labels, doc_id=id_col, y=label_col).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = [marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     texts = pick(docs, doc_id=id_col, text=text_col).where("text is not null")
-    got = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "y").toPandas()
-    got = got.sort_values(["doc_id", "text"], kind="stable")
-    return train(got["text"].tolist(), got["y"].astype(int).tolist())
+    sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
+
+    def one(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "text"], kind="stable")
+        m = train(rows["text"].tolist(), rows["y"].tolist(), seeds=(int(keys[0]),))
+        return pd.DataFrame({"seed": [keys[0]], "rows": [np.asarray(m.rows, np.float32).tobytes()], "weight": [m.weight.tolist()], "bias": [m.bias]})
+
+    seeds = sample.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
+    made = seeds.repartition(len(SEEDS), "seed").groupBy("seed").applyInPandas(one, "seed int, rows binary, weight array<double>, bias double").collect()
+    parts = [Model(np.frombuffer(r["rows"], np.float32).reshape(BUCKETS, -1), np.array(r["weight"]), r["bias"]) for r in sorted(made, key=lambda r: r["seed"])]
+    return side_by_side(parts) if parts else train([], [])
 
 
 def detect(docs: DataFrame, model: Model, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

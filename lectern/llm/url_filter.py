@@ -6,15 +6,19 @@ level has no false positives. Because the cascade is built against the complete
 keys in the corpus, membership is exact for every key of it, and no join is needed.
 
 Keys are split by hash into shards of bounded size, each with a cascade of its own, built in
-parallel. The finished filters are broadcast while their counted size stays below
-``BROADCAST_BYTES``; beyond that the lookups are sent to the shard of their key instead, one
-shuffle of (row, key hash), with the same answers.
+parallel and written to shared storage. Lookups are spread by (shard, salt), so a task needs the
+filters of few shards, and a hot URL is spread over many tasks. Executors fetch the filter files
+as they fetch any file of the application, and a worker holds ``HELD`` shards at a time. Nothing
+is joined, broadcast or sent to the driver, at any size.
+
+There are at most ``MAX_LEVELS`` levels, which halve each time; keys whose 128-bit hashes are
+equal can't be told apart by any number, and are an error if only one of them is listed.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,8 +28,11 @@ from pyspark.sql import functions as F
 from lectern.llm.common import mix64, persist_table, pick, table
 
 SHARD_KEYS = 500_000
-BROADCAST_BYTES = 64 << 20
 MAX_LEVELS = 64
+#: Shards of which a worker holds the filters, about a megabyte each.
+HELD = 16
+#: Tasks over which the lookups of one shard may be spread.
+SALTS = 64
 
 CASCADE = "shard int, level int, hashes int, bits binary"
 
@@ -113,40 +120,54 @@ def cascade(universe: DataFrame, listed: DataFrame, key: str = "key", shard_keys
     return persist_table(made, "cascade").withColumn("shards", F.lit(shards))
 
 
-def _levels(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
-    pdf = pdf.sort_values("level")
-    return [(int(h), np.frombuffer(b, np.uint8)) for h, b in zip(pdf["hashes"], pdf["bits"])]
+class _Filters:
+    """The filter files as an executor sees them: an index of shards, and the last few that were asked for."""
+
+    def __init__(self, names: list[str]):
+        from pyarrow import parquet
+        from pyspark import SparkFiles
+
+        self.read = parquet.read_table
+        self.where = {int(s): path for path in map(SparkFiles.get, names) for s in set(parquet.read_table(path, columns=["shard"])["shard"].to_pylist())}
+        self.get = lru_cache(HELD)(self._load)
+
+    def _load(self, shard: int) -> list[tuple[int, np.ndarray]]:
+        if shard not in self.where:
+            return []
+        rows = self.read(self.where[shard], filters=[("shard", "==", shard)]).to_pylist()
+        return [(r["hashes"], np.frombuffer(r["bits"], np.uint8)) for r in sorted(rows, key=lambda r: r["level"])]
 
 
-def lookup(rows: DataFrame, filters: DataFrame, key: str = "key", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+_opened: dict[tuple[str, ...], _Filters] = {}
+
+
+def lookup(rows: DataFrame, filters: DataFrame, key: str = "key") -> DataFrame:
     """``rows`` with a column ``listed``: exact for keys of the filters' universe, false for null keys."""
     spark = rows.sparkSession
-    facts = filters.agg(F.max("shards").alias("shards"), F.sum(F.length("bits")).alias("bytes")).first()
-    if facts["shards"] is None:
+    shards = filters.select(F.max("shards")).first()[0]
+    if shards is None:
         return rows.withColumn("listed", F.lit(False))
-    shards = facts["shards"]
+    files = filters.inputFiles()
+    for path in files:
+        spark.sparkContext.addFile(path)
+    names = tuple(path.rsplit("/", 1)[-1] for path in files)
+
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        if names not in _opened:
+            _opened.clear()
+            _opened[names] = _Filters(list(names))
+        x, y = _u64(a), _u64(b)
+        out, shard = np.zeros(len(x), bool), x.view(np.int64) % shards
+        for s in np.unique(shard):
+            mine = np.flatnonzero(shard == s)
+            out[mine] = member(_opened[names].get(int(s)), x[mine], y[mine])
+        return pd.Series(out)
+
     h1, h2 = hashed(F.col(key))
-    if facts["bytes"] <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({int(s): _levels(g) for s, g in filters.toPandas().groupby("shard")})
-
-        @F.pandas_udf("boolean")
-        def test(a: pd.Series, b: pd.Series) -> pd.Series:
-            x, y = _u64(a), _u64(b)
-            out, shard = np.zeros(len(x), bool), (x.view(np.int64) % shards)
-            for s in np.unique(shard):
-                mine = np.flatnonzero(shard == s)
-                out[mine] = member(held.value.get(int(s), []), x[mine], y[mine])
-            return pd.Series(out)
-
-        return rows.withColumn("listed", F.col(key).isNotNull() & test(h1, h2))
-    flat = rows.withColumns({"__h1": h1, "__h2": h2, "__shard": F.pmod(h1, F.lit(shards)).cast("int")})
-    schema = rows.withColumn("listed", F.lit(True)).schema
-
-    def route(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left["listed"] = member(_levels(right), _u64(left["__h1"]), _u64(left["__h2"])) & left[key].notna().to_numpy() if len(left) else False
-        return left[schema.names]
-
-    return flat.groupBy("__shard").cogroup(filters.select(*[c for c in filters.columns if c != "shards"]).groupBy("shard")).applyInPandas(route, schema)
+    shard, salt = F.pmod(h1, F.lit(shards)), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    spread = rows.withColumns({"__shard": shard, "__salt": salt}).repartition("__shard", "__salt").sortWithinPartitions("__shard").drop("__shard", "__salt")
+    return spread.withColumn("listed", F.col(key).isNotNull() & test(h1, h2))
 
 
 def flagged(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", list_col: str = "url") -> DataFrame:

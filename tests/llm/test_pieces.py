@@ -54,7 +54,7 @@ def test_longest_prefix_and_alignment():
         precompiled_charsmap, add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces = b"", True, True, True
 
     n = pieces.Normaliser(Spec)
-    n.map, n.plain = PlainMap({b"a": b"1", b"ab": b"22", "ﬁ".encode(): b"fi", b"\t": b" "}), False
+    n.map, n.fast = PlainMap({b"a": b"1", b"ab": b"22", "ﬁ".encode(): b"fi", b"\t": b" "}), False
     out, where = n.align("  abxa\t ﬁ ".encode())
     assert out.decode() == "▁22x1▁fi"
     source = "  abxa\t ﬁ ".encode()
@@ -128,3 +128,69 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_library_is_the_reference(tool):
     other = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     assert [i.tolist() for i, _, _ in tool.encode(["some text"])] == other.encode(["some text"])
+
+
+@pytest.fixture(scope="module")
+def mapped():
+    return pieces.encoder(pieces.MODEL, pieces.RULE)
+
+
+ODD = ["", " ", "ﬁne½ café x\ty", "e\u0301a\u0308 n\u0303o", "ＡＢＣ１２３　全角", "①②③ ㍿ ㌀", "\u00a0nbsp\u2003em", "a\u0301\u0323 \u1e9b\u0323", "한글 ᄒ\u1161\u11ab", "zero\u200bwidth\ufeff", "\x01\x7fctrl\r\n", "Ⅷ ﬄ ĳ", "\u0301 alone", "日本語ﾃｷｽﾄ", "🇩🇪 👩\u200d👩 x", "٣ ۵"]
+
+
+def test_map_runs_and_equals_the_library_normaliser(mapped):
+    """The alignment replays the library's normaliser byte for byte, on texts that the map rewrites and on the corpus."""
+    assert mapped.normaliser.fast and mapped.normaliser.map.units
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].tolist()
+    r = random.Random(6)
+    wild = ["".join(chr(r.choice([r.randint(9, 126), r.randint(0xA0, 0x36F), r.randint(0x2000, 0x24FF), r.randint(0x3000, 0x33FF), r.randint(0xFB00, 0xFB06), r.randint(0xFF01, 0xFFEF)])) for _ in range(r.randint(0, 60))) for _ in range(500)]
+    rewritten = 0
+    for text in ODD + wild + docs:
+        normal, where = mapped.normaliser.align(text.encode())
+        assert ("▁" + normal.decode().replace(" ", "▁") if text else "") == mapped.library.normalize(text)
+        assert len(where) == len(mapped.library.normalize(text).encode()) + 1 and (where[1:] >= where[:-1]).all()
+        rewritten += normal != text.encode()
+    assert rewritten > 400
+
+
+def test_fast_path_equals_the_plain_walk(mapped):
+    for text in ODD:
+        normal, where = mapped.normaliser.align(text.encode())
+        out, slow = mapped.normaliser._walk(text.encode())
+        assert (SPACE_ + normal.replace(b" ", SPACE_) if text else b"") == out or not text
+        assert where.tolist() == slow.tolist()
+
+
+SPACE_ = "▁".encode()
+
+
+def test_offsets_project_pieces_to_the_original(mapped):
+    """The part of the text that a piece covers normalises to the piece."""
+    for text in ["ﬁne café", "ＡＢＣ　１２", "x½y", "e\u0301t"]:
+        (ids, starts, ends), = mapped.encode([text])
+        source = text.encode()
+        assert ids.tolist() == mapped.library.encode(text)
+        assert starts[0] == 0 and ends[-1] == len(source) and (starts[1:] == ends[:-1]).all()
+    (ids, starts, ends), = mapped.encode(["a ﬁ"])
+    spelled = [("a ﬁ".encode()[a:b], mapped.surface[i]) for i, a, b in zip(ids.tolist(), starts, ends)]
+    assert b"".join(s for s, _ in spelled) == "a ﬁ".encode() and b"".join(p for _, p in spelled) == b" a fi"
+
+
+def test_a_map_with_other_keys_takes_the_walk():
+    class Spec:
+        precompiled_charsmap, add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces = compiled({b"ab": b"x"}), True, False, True
+
+    n = pieces.Normaliser(Spec)
+    assert not n.fast and n.align(b"zab")[0].decode() == "▁zx"
+
+
+def test_query_equals_the_library(spark, sf):
+    """Ids, decoding and offsets of the whole table against the library with the same map."""
+    library = sentencepiece.SentencePieceProcessor(model_proto=pieces.with_rule(open(pieces.MODEL, "rb").read(), pieces.RULE))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pieces.op7_pieces(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        assert r.ids == library.encode(text) and r.decoded_ok
+        assert "".join(text.encode()[a:b].decode("utf-8", "replace") for a, b in zip(r.starts, r.ends)) == text or "�" in text

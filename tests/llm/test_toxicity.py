@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -69,3 +70,38 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert tox.detect(no_docs, tox.fit(no_docs, labels)).collect() == []
     none = tox.fit(odd_docs, spark.createDataFrame([(6, 0)], "doc_id bigint, toxic int"))
     assert not any(r.toxic for r in tox.detect(odd_docs, none).collect())
+
+
+def plain_probability(model, text):
+    """Word by word and passage by passage, from the embeddings alone."""
+    words = tox.words_of(text or "")
+    if not words:
+        return 0.0
+    values = {}
+    for w in set(words):
+        rows, _ = tox.subwords([w], len(model.rows))
+        values[w] = float(np.mean([model.rows[r].astype(float) @ model.weight for r in rows]))
+    worst = max(sum(values[w] for w in words[a : a + tox.PASSAGE]) / len(words[a : a + tox.PASSAGE]) for a in range(0, max(len(words) - tox.PASSAGE // 2, 1), tox.PASSAGE // 2))
+    return 1 / (1 + math.exp(-max(-50, min(50, worst + model.bias))))
+
+
+def test_query_equals_brute_force(spark, sf):
+    """The fit on executors is the plain training of the same rows; scores are those of single words."""
+    docs, labels = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/labels.parquet")
+    rows = docs.merge(labels, on="doc_id").sort_values(["doc_id", "text"])
+    assert rows["toxic"].value_counts().max() <= tox.TRAIN_PER_CLASS
+    model = tox.train(rows["text"].tolist(), rows["toxic"].tolist())
+    got = {r.doc_id: r for r in tox.op10_toxicity(spark, sf).collect()}
+    assert got.keys() == set(docs["doc_id"].tolist())
+    for doc, text in zip(docs["doc_id"], docs["text"]):
+        p = plain_probability(model, text)
+        assert math.isclose(got[doc].p_toxic, p, abs_tol=2e-6) and got[doc].toxic == (got[doc].p_toxic >= tox.THRESHOLD)
+
+
+def test_a_very_long_labelled_text(spark):
+    """Whole labelled texts are trained on, long ones too; the label of an id with both is toxic."""
+    long = "quiet river by the old houses today " * 30_000 + "you horrible disgusting creature"
+    docs = spark.createDataFrame([(1, long), (2, "quiet river by the old houses today"), (3, "horrible disgusting"), (4, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (4, 1)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.p_toxic for r in tox.detect(docs, tox.fit(docs, labels)).collect()}
+    assert got[1] > got[2] and got[3] > got[2] and got[4] == 0
