@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Glue words that a query ignores, in alphabetical lines.
+#: Glue words that a query ignores.
 GLUE = tuple("a an and are as at be by for from how in into is it of on or that the their this to use using with".split())
 
 
@@ -25,6 +25,18 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+_LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def normal_text(c: Column) -> Column:
+    """Extracted text as it should read: lone surrogates go, control glyphs are brackets, ligatures letters; no blanks
+    inside brackets or before punctuation."""
+    out = F.translate(F.regexp_replace(c, r"\p{Cs}", ""), "\x01\x02\x03\x04\u00a0", "()[] ")
+    for glyph, letters in _LIGATURES:
+        out = F.replace(out, F.lit(glyph), F.lit(letters))
+    return F.trim(F.regexp_replace(F.regexp_replace(squeezed(out), r"([(\[]) ", "$1"), r" ([)\],.;:])", "$1"))
+
+
 def clean(c: Column) -> Column:
     """Squeezed, and null if nothing is left."""
     return F.nullif(squeezed(c), F.lit(""))

@@ -1,85 +1,56 @@
-"""Page geometry: word boxes to lines in reading order. Input is one row a word: page, x0, y0, x1, y1, text."""
+"""Page geometry: word boxes to lines in reading order.
+
+Input is one row a word: doc_id, page, x0, y0, x1, y1, text, width, height (of the page) and, where
+the extractor knows them, block, line, word and source_text (the raw text of the line it is from).
+A page is (doc_id, page); every step is partitioned by it, so pages need one shuffle in all.
+"""
 
 from __future__ import annotations
 
+import re
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines that are boilerplate wherever they stand, sorted.
-BOILERPLATE = r"(?i)^(?:accepted for publication|all rights reserved|article in press|author manuscript|available online|contents lists available|copyright|downloaded (?:by|from)|journal homepage|preprint submitted|published (?:by|online)|see discussions, stats|this (?:article|content|copy) (?:is|was)|view (?:article|publication stats))|^©|^\d{4}-\d{3}[\dx]/"
-
+from lectern.functions.text import normal_text, repetition_key
 
-def is_margin_artifact(x0: Column, y0: Column, x1: Column, y1: Column, width: Column) -> Column:
-    """Narrow, tall boxes whose centre lies outside 12 % to 88 % of the page's width."""
-    centre = (x0 + x1) / 2 / width
-    return ~centre.between(0.12, 0.88) & ((x1 - x0) <= 0.035 * width) & ((y1 - y0) > (x1 - x0))
+KEY = ("doc_id", "page")
+WORD = "doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double, text string, width double, height double, block int, line int, word int, source_text string"
 
+#: Lines that are boilerplate wherever they stand: manuscript labels, identifiers, notices of rights.
+BOILERPLATE = "(?i)^(?:" + "|".join((
+    "(?:nih public access|(?:nih-pa )?author manuscript|nih-pa|published in final edited form as:)$",
+    r"doi\s*:|\d{4}-\d{4}/\d{4}/|pacs\s+number\s*s?\s*:|pacs\s+(?:numbers?|nos?\.?)\b|acm\s+\d+(?:-\d+)+/\d+/\d+\.$",
+    r"phys rev e stat nonlin soft matter phys\. (?:author manuscript; available in pmc|\d{4})\b|fu et al\. page \d+$|gecco[’']\d{2},\s+|[*†‡].*@",
+    r"copyright is held by the author/owner\(s\)\.$|copyright © \d{4}, association for the advancement of artificial$|intelligence \(www\.aaai\.org\)\. all rights reserved\.$",
+    r"(?:©|copyright)\s*\d{4}\b|copyright\s*©\s*\d{4}\b|\(c\)\s*\d{4}\b",
+)) + ")"
 
-def gutters(lines: DataFrame) -> DataFrame:
-    """(page, gutter) of pages in two columns, from line boxes (page, x0, x1, width).
-
-    At least twelve lines, four of which begin in the left 32 % and four beyond 45 %; the gap
-    between the third quartile of the left ones' ends and the first of the right ones' starts
-    is 1.5 % of the width and more, its middle within 35 % to 65 %.
-    """
-    left, right = F.col("x0") < 0.32 * F.col("width"), F.col("x0") > 0.45 * F.col("width")
-    g = lines.groupBy("page").agg(
-        F.count("*").alias("n"), F.count_if(left).alias("nl"), F.count_if(right).alias("nr"), F.max("width").alias("width"),
-        F.percentile(F.when(left, F.col("x1")), F.lit(0.75)).alias("a"), F.percentile(F.when(right, F.col("x0")), F.lit(0.25)).alias("b"),
-    )
-    middle = (F.col("a") + F.col("b")) / 2
-    return g.where((F.col("n") >= 12) & (F.col("nl") >= 4) & (F.col("nr") >= 4) & (F.col("b") - F.col("a") >= 0.015 * F.col("width")) & (middle / F.col("width")).between(0.35, 0.65)).select("page", middle.alias("gutter"))
 
+def _page() -> Window:
+    return Window.partitionBy(*KEY)
 
-def fallback_gutters(words: DataFrame, rows: str = "row") -> DataFrame:
-    """(page, gutter) from the gaps between neighbouring words: the widest central gap of each row, at least 4 % of
-    the width, in enough rows; their median."""
-    gap = F.lead("x0").over(Window.partitionBy("page", rows).orderBy("x0")) - F.col("x1")
-    middle = F.col("x1") + gap / 2
-    central = words.withColumn("gap", gap).withColumn("middle", middle).where((F.col("gap") >= 0.04 * F.col("width")) & (F.col("middle") / F.col("width")).between(0.35, 0.65))
-    best = central.groupBy("page", rows).agg(F.max_by("middle", "gap").alias("middle"))
-    totals = words.groupBy("page").agg(F.count("*").alias("n"), F.countDistinct(rows).alias("n_rows"))
-    return best.groupBy("page").agg(F.count("*").alias("support"), F.median("middle").alias("gutter")).join(totals, "page").where("n >= 30 and support >= greatest(4, 0.1 * n_rows)").select("page", "gutter")
 
+def _middle(a: str, b: str) -> Column:
+    return (F.col(a) + F.col(b)) / 2
 
-def column_of(x0: Column, x1: Column, gutter: Column) -> Column:
-    return F.when(gutter.isNull(), "single").when(x1 <= gutter, "left").when(x0 >= gutter, "right").otherwise("full")
 
-
-def merged_fragments(lines: DataFrame) -> DataFrame:
-    """Neighbouring fragments of one row and column become a line: vertical distance within 55 % of the height (2 points
-    at least), a gap of 0 to 80 points. A running sum over the breaks numbers the groups."""
-    w = Window.partitionBy("page", "column", "row").orderBy("x0")
-    gap = F.col("x0") - F.lag("x1").over(w)
-    near = gap.between(0, 80) & (F.abs(F.col("y0") - F.lag("y0").over(w)) <= F.greatest(F.lit(2.0), 0.55 * (F.col("y1") - F.col("y0"))))
-    marked = lines.withColumn("fresh", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
-    grouped = marked.withColumn("g", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct("x0", "text")
-    return grouped.groupBy("page", "column", "row", "g").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.array_sort(F.collect_list(item))["text"], " ").alias("text")).drop("g")
-
-
-def reading_order(lines: DataFrame, tie: str = "text") -> DataFrame:
-    """Lines with ``place``: full-width lines above the columns first, then the left column, the right one, the rest.
-
-    Boxes with the same corner are ordered by ``tie``.
-    """
-    body = F.min(F.when(F.col("column").isin("left", "right"), F.col("y0"))).over(Window.partitionBy("page"))
-    zone = F.when((F.col("column") == "full") & (F.col("y0") < body), 0).when(F.col("column").isin("left", "single"), 1).when(F.col("column") == "right", 2).otherwise(3)
-    zoned = lines.withColumn("zone", zone)
-    return zoned.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("zone", "y0", "x0", tie))).drop("zone")
+# ---- words ---------------------------------------------------------------------------------
 
 
-def is_boilerplate(text: Column) -> Column:
-    return F.trim(text).rlike(BOILERPLATE)
+def is_margin_artifact(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:
+    """Narrow, tall boxes whose centre lies in the outer 12 % of the page's width: rotated labels."""
+    tall = (y1 - y0 >= F.greatest(F.lit(16.0), (x1 - x0) * 1.8)) | (y1 - y0 >= height * 0.04)
+    centre = (x0 + x1) / 2
+    return ~((centre > width * 0.12) & (centre < width * 0.88)) & (x1 - x0 <= width * 0.035) & tall
 
 
-def _row_numbers(tops: pd.Series, bottoms: pd.Series) -> pd.Series:
+def _rows_of(tops: pd.Series, bottoms: pd.Series) -> pd.Series:
     out = []
     for y0, y1 in zip(tops, bottoms):
-        tolerance = max(2.0, 0.45 * median([b - a for a, b in zip(y0, y1)]))
+        tolerance = max(2.0, 0.45 * median([max(1.0, b - a) for a, b in zip(y0, y1)]))
         rows: list[list[float]] = []
         medians: list[float] = []
         numbers = []
@@ -96,66 +67,218 @@ def _row_numbers(tops: pd.Series, bottoms: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def rows_by_height(words: DataFrame) -> DataFrame:
-    """Words with ``row``: a word joins the first row whose median height is near its own, else it opens one.
+def rows_by_height(words: DataFrame, name: str = "row") -> DataFrame:
+    """Words with a row number: a word, from the top, joins the first row whose median height is near its own, else it opens one.
 
     The rows depend on the order of the words, so a page is one row of arrays, and many pages a batch.
     """
-    rest = [c for c in words.columns if c not in ("page", "y0", "x0")]
-    pages = words.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", *rest))).alias("w"))
-    numbered = pages.withColumn("r", F.pandas_udf(_row_numbers, "array<int>")(F.col("w.y0"), F.col("w.y1")))
-    flat = numbered.select("page", F.explode(F.arrays_zip("w", "r")).alias("z"))
-    return flat.select("page", *[F.col(f"z.w.{c}").alias(c) for c in words.columns if c != "page"], F.col("z.r").alias("row"))
+    rest = [c for c in words.columns if c not in (*KEY, "x0")]
+    centre = ((F.col("y0") + F.col("y1")) / 2).alias("__centre")
+    pages = words.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(centre, "x0", *rest))).alias("w"))
+    numbered = pages.withColumn("r", F.pandas_udf(_rows_of, "array<int>")(F.col("w.y0"), F.col("w.y1")))
+    flat = numbered.select(*KEY, F.explode(F.arrays_zip("w", "r")).alias("z"))
+    return flat.select(*KEY, *[F.col(f"z.w.{c}").alias(c) for c in words.columns if c not in KEY], F.col("z.r").alias(name))
+
+
+def rowed(words: DataFrame) -> DataFrame:
+    """Words with ``y_row``, the row by height, and ``row``: the extractor's own line where all words of the page have one."""
+    known = F.min(F.col("block").isNotNull() & F.col("line").isNotNull()).over(_page())
+    own = F.dense_rank().over(_page().orderBy("block", "line"))
+    return rows_by_height(words, "y_row").withColumn("row", F.when(known, own).otherwise(F.col("y_row")))
+
+
+# ---- gutters -------------------------------------------------------------------------------
+
+
+def line_gutters(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, gutter) of pages in two columns, from line boxes (doc_id, page, x0, y0, x1, y1, width, height).
+
+    Lines at the very top and bottom and those wider than 62 % don't count. At least twelve
+    others, four of which begin in the left 32 % and four beyond 45 %; the gap between the third
+    quartile of the left ones' ends (of the long ones, if there are three) and the first of the
+    right ones' starts is 1.5 % of the width and more, its middle within 35 % to 65 %.
+    """
+    wide = F.col("x1") - F.col("x0")
+    body = lines.where((F.col("y1") >= 0.08 * F.col("height")) & (F.col("y0") <= 0.94 * F.col("height")) & (wide <= 0.62 * F.col("width")))
+    left, right = F.col("x0") < 0.32 * F.col("width"), F.col("x0") > 0.45 * F.col("width")
+    long = left & (wide >= 0.25 * F.col("width"))
+    g = body.groupBy(*KEY).agg(
+        F.count("*").alias("n"), F.count_if(left).alias("nl"), F.count_if(right).alias("nr"), F.count_if(long).alias("n_long"), F.max("width").alias("width"),
+        F.percentile(F.when(left, F.col("x1")), F.lit(0.75)).alias("any_edge"), F.percentile(F.when(long, F.col("x1")), F.lit(0.75)).alias("long_edge"), F.percentile(F.when(right, F.col("x0")), F.lit(0.25)).alias("b"),
+    ).withColumn("a", F.when(F.col("n_long") >= 3, F.col("long_edge")).otherwise(F.col("any_edge")))
+    middle = (F.col("a") + F.col("b")) / 2
+    return g.where((F.col("n") >= 12) & (F.col("nl") >= 4) & (F.col("nr") >= 4) & (F.col("b") - F.col("a") >= 0.015 * F.col("width")) & (middle >= 0.35 * F.col("width")) & (middle <= 0.65 * F.col("width"))).select(*KEY, middle.alias("gutter"))
+
+
+def gap_gutters(words: DataFrame, rows: str = "y_row") -> DataFrame:
+    """(doc_id, page, gutter) from the gaps between neighbouring words of a row: of each row the widest central gap, at
+    least 4 % of the width, in enough rows; their median. Words near the page's ends count only if there are few others."""
+    centre = _middle("y0", "y1")
+    inside = centre.between(0.12 * F.col("height"), 0.92 * F.col("height"))
+    body = words.withColumn("inside", inside).withColumn("many", F.count_if("inside").over(_page()) >= 24).where("inside or not many")
+    w = Window.partitionBy(*KEY, rows).orderBy("x0", "x1")
+    gap = F.lead("x0").over(w) - F.col("x1")
+    middle = (F.col("x1") + F.lead("x0").over(w)) / 2
+    central = body.withColumns({"gap": gap, "middle": middle}).where((F.col("gap") >= 0.04 * F.col("width")) & (F.col("middle") >= 0.34 * F.col("width")) & (F.col("middle") <= 0.66 * F.col("width")))
+    best = central.groupBy(*KEY, rows).agg(F.min_by("middle", F.struct(-F.col("gap"), "x0")).alias("middle"))
+    totals = body.groupBy(*KEY).agg(F.countDistinct(rows).alias("n_rows"))
+    return best.groupBy(*KEY).agg(F.count("*").alias("support"), F.median("middle").alias("gutter")).join(totals, list(KEY)).where("support >= greatest(4, floor(0.1 * n_rows))").select(*KEY, "gutter")
 
 
-KEPT_HYPHENS = ("co", "cross", "ex", "high", "low", "multi", "non", "self", "semi", "well")
+def with_gutters(words: DataFrame) -> DataFrame:
+    """Words with rows and ``gutter``, null on pages in one column. Pages of fewer than thirty words have one."""
+    many = words.withColumn("__n", F.count("*").over(_page())).where("__n >= 30")
+    boxes = many.groupBy(*KEY, "row").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("width").alias("width"), F.max("height").alias("height"), F.max(F.trim("text")).alias("any_text"))
+    lines = line_gutters(boxes.where("any_text <> ''")).withColumnRenamed("gutter", "__by_line")
+    gaps = gap_gutters(many).withColumnRenamed("gutter", "__by_gap")
+    return words.join(lines, list(KEY), "left").join(gaps, list(KEY), "left").withColumn("gutter", F.coalesce("__by_line", "__by_gap")).drop("__by_line", "__by_gap")
+
+
+# ---- lines ---------------------------------------------------------------------------------
+
+
+def split_rows(words: DataFrame) -> DataFrame:
+    """Words (with row and gutter) with ``column``: left, right, full or single.
+
+    A row with words on both sides of the gutter is two lines if there is a gap of more than 8
+    around it; three words or more against two or fewer make it a line of their side; else it is
+    a full line. A row on one side is right if it begins right of the gutter, or at most 45 short of it.
+    """
+    w = Window.partitionBy(*KEY, "row")
+    is_left = _middle("x0", "x1") < F.col("gutter")
+    nl, nr = F.count_if(is_left).over(w), F.count_if(~is_left).over(w)
+    gap = F.min(F.when(~is_left, F.col("x0"))).over(w) - F.max(F.when(is_left, F.col("x1"))).over(w)
+    out = words.withColumns({"__nl": nl, "__nr": nr, "__gap": gap, "__start": F.min("x0").over(w)})
+    side = F.when(is_left, "left").otherwise("right")
+    alone = F.when((F.col("__nr") > 0) | (F.col("__start") >= F.col("gutter") - 45), "right").otherwise("left")
+    both = F.when(F.col("__gap") > 8, side).when((F.col("__nl") >= 3) & (F.col("__nr") <= 2), "left").when((F.col("__nr") >= 3) & (F.col("__nl") <= 2), "right").otherwise("full")
+    column = F.when(F.col("gutter").isNull(), "single").when((F.col("__nl") == 0) | (F.col("__nr") == 0), alone).otherwise(both)
+    return out.withColumn("column", column).drop("__nl", "__nr", "__gap", "__start")
+
+
+def built_lines(words: DataFrame) -> DataFrame:
+    """A line for each row and column: box and text. The raw text of the source line is taken where all its words are from one."""
+    item = F.struct("x0", "y0", F.coalesce("word", F.lit(0)).alias("word"), "text")
+    g = words.groupBy(*KEY, "row", "column").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("gutter").alias("gutter"), F.max("height").alias("height"),
+        F.array_join(F.array_sort(F.collect_list(item))["text"], " ").alias("joined"), F.countDistinct(F.struct(F.coalesce("block", F.lit(-1)), F.coalesce("line", F.lit(-1)))).alias("sources"), F.collect_set(F.when(F.col("source_text") != "", F.col("source_text"))).alias("raw"),
+    )
+    text = normal_text(F.when((F.col("sources") == 1) & (F.size("raw") == 1), F.col("raw")[0]).otherwise(F.col("joined")))
+    return g.withColumn("text", text).where("text <> ''").drop("joined", "sources", "raw")
+
+
+def merged_fragments(lines: DataFrame) -> DataFrame:
+    """Neighbours in the order of height and x become one line: same column, centres within 55 % of the former's height
+    (2 points at least), a gap of 0 to 80 points. A running sum over the breaks numbers the groups."""
+    w = _page().orderBy(_middle("y0", "y1"), "x0", "x1", "text")
+    before = {c: F.lag(c).over(w) for c in ("x1", "y0", "y1", "column")}
+    near = (F.col("column") == before["column"]) & (F.col("x0") - before["x1"]).between(0, 80)
+    near = near & (F.abs(_middle("y0", "y1") - (before["y0"] + before["y1"]) / 2) <= F.greatest(F.lit(2.0), 0.55 * (before["y1"] - before["y0"])))
+    grouped = lines.withColumns({"__fresh": F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1), "__at": F.row_number().over(w)})
+    grouped = grouped.withColumn("__g", F.sum("__fresh").over(_page().orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = [F.max(c).alias(c) for c in lines.columns if c in ("gutter", "height", "width")]
+    text = normal_text(F.array_join(F.array_sort(F.collect_list(F.struct("__at", "text")))["text"], " "))
+    return grouped.groupBy(*KEY, "__g").agg(F.max("column").alias("column"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"), *kept).withColumnRenamed("__g", "merged")
+
+
+def reading_order(lines: DataFrame, tie: str = "merged") -> DataFrame:
+    """Lines with ``place``. Pages in one column go from top to bottom.
+
+    In two columns, full-width lines above the columns come first. If the page has an abstract or
+    an introduction, what stands above it in the columns follows row by row (front matter), then
+    the left column, the right one, other full-width lines, the rest.
+    """
+    centre = _middle("y0", "y1")
+    sided = F.col("column").isin("left", "right")
+    low = F.trim(F.lower(normal_text(F.col("text"))), F.lit(" .:"))
+    opens = (low == "abstract") | low.startswith("abstract ") | low.rlike(r"^(?:\d+(?:\.\d+)*|[ivxlcdm]+)\.?\s+introduction\b")
+    marked = lines.withColumns({
+        "__c": centre, "__top": F.coalesce(F.min(F.when(sided, centre)).over(_page()), F.lit(float("inf"))), "__anchor": F.min(F.when(opens, centre)).over(_page()),
+        "__any": F.max(F.col("column").isin("left", "right", "full")).over(_page()),
+    })
+    front = F.coalesce(F.col("__c") < F.col("__anchor"), F.lit(False))
+    zone = (
+        F.when(F.col("gutter").isNull() | ~F.col("__any"), 5).when((F.col("column") == "full") & (F.col("__c") < F.col("__top")), 0).when(F.col("column") == "full", 4)
+        .when(front, 1).when(F.col("column") == "left", 2).when(F.col("column") == "right", 3).otherwise(5)
+    )
+    height = F.when(F.col("__zone") == 1, F.bround(F.col("y0") / 2) * 2).otherwise(F.col("y0"))
+    placed = marked.withColumn("__zone", zone).withColumn("place", F.row_number().over(_page().orderBy("__zone", height, "x0", "y0", tie)))
+    return placed.drop("__c", "__top", "__anchor", "__any", "__zone")
+
+
+def is_boilerplate(text: Column) -> Column:
+    low = normal_text(text)
+    return (low == "") | low.rlike(BOILERPLATE)
+
+
+KEPT_HYPHENS = ("cross", "half", "high", "long", "low", "multi", "quasi", "self", "short", "well")
 
 
 def joined_pair(a: Column, b: Column) -> Column:
-    """Two lines of which the first ends in a hyphen as one: the hyphen goes unless its prefix keeps it; null where
-    they don't belong together (the second must go on in lower case)."""
-    prefix = F.lower(F.regexp_extract(a, r"([A-Za-z]+)-$", 1))
-    fits = a.rlike(r"[A-Za-z]-$") & b.rlike("^[a-z]")
+    """Two lines of which the first ends in a hyphened fragment as one: the hyphen goes unless its prefix keeps it; null
+    where they don't belong together (two letters at least before the hyphen, a word in lower case after it)."""
+    prefix = F.lower(F.regexp_extract(a, "([A-Za-z]{2,})-$", 1))
+    fits = a.rlike("[A-Za-z]{2}-$") & b.rlike("^[a-z]")
     return F.when(fits, F.concat(F.when(prefix.isin(*KEPT_HYPHENS), a).otherwise(F.regexp_replace(a, "-$", "")), b))
 
 
+_FRAGMENT, _FIRST = re.compile("([A-Za-z]{2,})-$"), re.compile("([A-Za-z][A-Za-z'’]*)(?=\\W|$)")
+
+
 def _join(a: str, b: str) -> tuple[str, str] | None:
-    word = a.rsplit(" ", 1)[-1]
-    if not (word.endswith("-") and word[:-1].isalpha() and b[:1].islower()):
+    fragment, first = _FRAGMENT.search(a), _FIRST.match(b)
+    if fragment is None or first is None or not first[1][0].islower():
         return None
-    head, _, rest = b.partition(" ")
-    return (a if word[:-1].lower() in KEPT_HYPHENS else a[:-1]) + head, rest
+    hyphen = "-" if fragment[1].lower() in KEPT_HYPHENS else ""
+    return a[:-1] + hyphen + first[1], b[first.end() :].strip()
 
 
-def _put_together(columns: pd.Series) -> pd.Series:
+def _put_together(pages: pd.Series) -> pd.Series:
     done = []
-    for lines in columns:
+    for lines in pages:
         out: list[dict] = []
         for line in lines:
             text = line["text"]
-            made = _join(out[-1]["text"], text) if out else None
+            made = _join(out[-1]["text"], text) if out and out[-1]["column"] == line["column"] else None
             if made is not None:
                 out[-1]["text"], text = made
-            if text.strip():
-                out.append({"place": line["place"], "text": text})
+            if text:
+                out.append(dict(line, text=text))
         done.append(out)
     return pd.Series(done)
 
 
 def dehyphenated(lines: DataFrame) -> DataFrame:
-    """Lines (page, column, place, text) with words put together across line ends, page by page and column by column.
+    """Lines (doc_id, page, place, column, text, y0, y1, height) with words put together across line ends.
 
-    A joined line may end in a hyphen again, so this is a fold; what follows the joined word
-    stays a line of its own.
+    Only lines that follow each other in one column are joined. A joined line may end in a hyphen
+    again, so this is a fold; what follows the joined word stays a line of its own.
     """
-    folded = lines.groupBy("page", "column").agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "text"))).alias("l"))
-    return folded.select("page", "column", F.inline(F.pandas_udf(_put_together, "array<struct<place:int,text:string>>")("l")))
+    item = "struct<place:int,column:string,text:string,y0:double,y1:double,height:double>"
+    folded = lines.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "column", "text", "y0", "y1", "height"))).alias("l"))
+    return folded.select(*KEY, F.inline(F.pandas_udf(_put_together, f"array<{item}>")("l")))
+
+
+def page_lines(words: DataFrame) -> DataFrame:
+    """Lines of each page by itself, in reading order, without boilerplate; all steps in their order."""
+    corners = [F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")]
+    lines = built_lines(split_rows(with_gutters(rowed(words.where(~is_margin_artifact(*corners))))))
+    ordered = reading_order(merged_fragments(lines)).where(~is_boilerplate(F.col("text")))
+    return dehyphenated(ordered)
+
+
+def in_margin(centre: Column, height: Column) -> Column:
+    return (centre <= height * 0.1) | (centre >= height * 0.9)
+
+
+def without_margin_lines(lines: DataFrame, repetitions: int = 2) -> DataFrame:
+    """Lines without those in the top and bottom tenth of their page that repeat there on as many pages of the document, or are page numbers."""
+    marked = lines.withColumns({"__margin": in_margin(_middle("y0", "y1"), F.col("height")), "__key": repetition_key(normal_text(F.col("text")))})
+    repeated = marked.where(F.col("__margin") & (F.length("__key") >= 3)).groupBy("doc_id", "__key").agg(F.countDistinct("page").alias("__pages")).where(F.col("__pages") >= repetitions)
+    number = normal_text(F.col("text")).rlike(r"(?i)^(?:page\s+)?\d+$")
+    return marked.join(repeated, ["doc_id", "__key"], "left").where(~(F.col("__margin") & (F.col("__pages").isNotNull() | number))).select(*lines.columns)
 
 
 def pages_to_lines(words: DataFrame) -> DataFrame:
-    """(page, place, text) of word boxes (page, x0, y0, x1, y1, text, width): all steps in their order."""
-    kept = words.where(~is_margin_artifact(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width")]))
-    rowed = rows_by_height(kept)
-    split = rowed.join(fallback_gutters(rowed), "page", "left").withColumn("column", column_of(F.col("x0"), F.col("x1"), F.col("gutter")))
-    ordered = reading_order(merged_fragments(split)).where(~is_boilerplate(F.col("text")))
-    return dehyphenated(ordered.select("page", "column", "place", "text")).select("page", "place", "text")
+    """(doc_id, page, place, column, text) of word boxes, running heads and page numbers left out."""
+    return without_margin_lines(page_lines(words)).select(*KEY, "place", "column", "text")
