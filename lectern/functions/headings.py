@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import section_key, squeezed
 
-#: Titles that are headings wherever they stand alone, in alphabetical order.
+#: Titles that are headings wherever they stand alone. Corpora add their own through the parameter ``titles``.
 COMMON = tuple(
-    "abstract|acknowledgements|acknowledgments|analysis|appendices|appendix|background|behavioral dimensions|behavioral patterns|behavioral profile|behavioral profiling|bibliography"
-    "|code and data availability|conclusion|conclusions|data|data, materials, and software availability|discussion|discussion and conclusion|effect of memory window size|effect of temperature"
-    "|ethical impact|experiment design|experimental design|future work|game setup|introduction|limitations|literature review|llm setup|llms as agents|llms in game theory|materials and methods"
-    "|meta-prompting|method|methods|model|models|numerical simulation results|paper checklist|probability of cooperation|prompting|prompts and their variations|references|related work|results"
-    "|role of reputation|sfem profile|simulation results|strategies|supplementary material|supporting information|theory|time evolution".split("|")
+    "abstract|acknowledgements|acknowledgments|analysis|appendices|appendix|background|bibliography|code and data availability|conclusion|conclusions|data"
+    "|data, materials, and software availability|discussion|discussion and conclusion|ethical impact|experiment design|experimental design|future work|introduction|limitations"
+    "|literature cited|literature review|materials and methods|method|methods|model|models|numerical simulation results|references|related work|results|simulation results"
+    "|strategies|supplementary material|supporting information|theory|works cited".split("|")
 )
 
 _PLACES = "cent(?:er|re)|college|department|faculty|institute|lab|laboratory|program|school"
@@ -56,16 +55,3 @@ def is_numbered_heading(line: Column) -> Column:
 def is_heading(line: Column) -> Column:
     l = squeezed(line)
     return F.length(l).between(3, 120) & ~is_bad_heading(l) & ~is_author_line(l) & (section_key(l).isin(*COMMON) | is_numbered_heading(l))
-
-
-def level(number: Column) -> Column:
-    """0 without a number, else the depth of a decimal one (three at most); Roman numbers and letters are 1 and 2."""
-    return F.when(number.isNull(), 0).when(number.rlike(r"^\d"), F.least(F.size(F.split(number, r"\.")), F.lit(3))).when(number.rlike("^[IVXLCDM]+$"), 1).otherwise(2)
-
-
-def heading_part(text: Column) -> Column:
-    """Whether a candidate reads like a heading: its first number from 1 to 50, none that ends in .0, a title in upper case."""
-    number = F.regexp_extract(text, r"^(\d+(?:\.\d+)*)\.?\s", 1)
-    title = F.regexp_extract(text, r"^(?:(?:\d+(?:\.\d+)*|[IVXLCDM]+|[A-Z])\.?\s+)?(.*)$", 1)
-    first = F.split(number, r"\.")[0].try_cast("int")
-    return ((number == "") | (first.between(1, 50) & ~number.rlike(r"\.0$"))) & title.rlike("^[A-Z]")

@@ -84,12 +84,6 @@ def author_lines(spark, d):
     return _LIT.frame(spark).select("id", H.is_author_line(F.col("line")).alias("author_line"))
 
 
-@query("c1_heading_scan")
-def heading_scan(spark, d):
-    """All the rules together; tested on literal lines, each rule has a query with SQL of its own."""
-    return sections.heading_lines(text_lines(spark, d))
-
-
 @query("c5_decided_spans", f"""WITH {SQL_LINES}, cand AS (SELECT doc_id, line_index FROM lines WHERE length(text) % 7 = 0), m AS (SELECT l.*, c.doc_id IS NOT NULL AND length(l.text) % 2 = 0 AS heading FROM lines l LEFT JOIN cand c USING (doc_id, line_index)),
 n AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_index) AS n FROM m) SELECT doc_id, CAST(nullif(n, 0) - 1 AS INTEGER) AS section_index, count(*) AS lines FROM n GROUP BY doc_id, n""")
 def decided_spans(spark, d):
@@ -100,27 +94,12 @@ def decided_spans(spark, d):
     return sections.spans(sections.decided(lines, candidates, decisions)).select("doc_id", "section_index", F.size("lines").cast("bigint").alias("lines"))
 
 
-@query("w7_after_references", f"WITH {SQL_LINES}, k AS (SELECT *, {_KEY} IN ('references', 'bibliography', 'works cited', 'literature cited') AS r FROM lines) SELECT doc_id, line_index, coalesce(bool_or(r) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS in_references FROM k")
-def after_references(spark, d):
-    return sections.after_references(text_lines(spark, d)).select("doc_id", "line_index", "in_references")
-
-
 @query("w6_first_of_lines", f"WITH {SQL_LINES} SELECT doc_id, line_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY line_index) AS k FROM lines) WHERE k = 1")
 def first_of_lines(spark, d):
     """Keep-first dedupe by lower case, in line order."""
     return text_lines(spark, d).groupBy("doc_id", F.lower("text").alias("k")).agg(F.min("line_index").alias("line_index")).select("doc_id", "line_index")
 
 
-@query("a16_candidates_grouped", f"WITH {SQL_LINES} SELECT doc_id, page, lower(text) AS key, min(line_index) AS first, count(*) - 1 AS also FROM lines GROUP BY doc_id, page, lower(text)")
-def candidates_grouped(spark, d):
-    return text_lines(spark, d).groupBy("doc_id", "page", F.lower("text").alias("key")).agg(F.min("line_index").alias("first"), (F.count("*") - 1).alias("also"))
-
-
-@query("f16_levels", f"WITH {_LIT.sql('t')}, p AS (SELECT id, coalesce(nullif(rtrim(regexp_extract(line, '^([0-9]+(?:[.][0-9]+)*[.]?)[ ]+(.+)$', 1), '.'), ''), nullif(regexp_extract(line, '^([IVXLCDM]+)[.]?[ ]+(.+)$', 1), ''), nullif(regexp_extract(line, '^([A-Z])[.][ ]+(.+)$', 1), '')) AS number FROM t) SELECT id, CAST(CASE WHEN number IS NULL THEN 0 WHEN regexp_matches(number, '^[0-9]') THEN least(3, len(string_split(number, '.'))) WHEN regexp_matches(number, '^[IVXLCDM]+$') THEN 1 ELSE 2 END AS INTEGER) AS level FROM p")
-def levels(spark, d):
-    return _LIT.frame(spark).select("id", H.level(T.parsed_heading(F.col("line"))["number"]).alias("level"))
-
-
 @query("f4_section_keys", f"WITH {SQL_LINES} SELECT doc_id, line_index, {_KEY} AS key FROM lines")
 def section_keys(spark, d):
     return text_lines(spark, d).select("doc_id", "line_index", T.section_key(F.col("text")).alias("key"))
