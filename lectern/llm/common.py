@@ -66,15 +66,19 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def persist_table(df: DataFrame, name: str) -> DataFrame:
+def persist_table(df: DataFrame, name: str, last: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
     The files stay until ``discard`` or ``release`` removes them, at the latest when the process ends.
+    ``last`` says that nothing else reads the shuffles behind ``df``: the driver collects its
+    garbage, upon which Spark removes their files now instead of some time later.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     _written.append((spark, path))
+    if last:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

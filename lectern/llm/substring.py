@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Windows, mix64, persist_table, table
-from lectern.llm.spans import MIN_WORDS, PLACES, cut_documents, folded, merged_spans, part_of, places, pos_of, shared, streams, texts
+from lectern.llm.spans import LATER, MIN_WORDS, PLACES, cut_documents, folded, merged_spans, packed, part_of, places, pos_of, shared, streams, texts
 
 PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
@@ -45,7 +45,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 doc, code = ids[owner[at]], (np.array(parts, np.int64)[owner[at]] << 32) | position[at]
                 h = Windows(hashes).at(at, width)
                 order, state = folded([h], doc, code)
-                yield pd.DataFrame({"h": h[order].view(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
+                yield pd.DataFrame({"h": h[order].view(np.int64), "doc_id": doc[order], "at": packed(code[order], state)})
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,11 +62,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 doc, code = ids[owner[at]], (np.array([m[0] for m in marks], np.int64)[owner[at]] << 32) | position[at]
                 first, second = Windows(hashes).at(at, min_words), Windows(mix64(hashes ^ _OTHER)).at(at, min_words)
                 order, state = folded([first, second], doc, code)
-                yield pd.DataFrame({"h": first[order].view(np.int64), "g": (second[order] >> np.uint64(32)).astype(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
+                second[order[state == LATER]] = 0  # later places meet nothing
+                yield pd.DataFrame({"h": first[order].view(np.int64), "g": (second[order] >> np.uint64(32)).astype(np.int64), "doc_id": doc[order], "at": packed(code[order], state)})
 
     slim = texts(docs, id_col, text_col)
     marked = shared(slim.mapInPandas(anchors, PLACES), "h").groupBy("doc_id", part_of().alias("part")).agg(F.collect_set(pos_of()).alias("anchors"))
-    marked = persist_table(marked, "anchors")
+    marked = persist_table(marked, "anchors", last=True)
     found = slim.join(marked, ["doc_id", "part"]).select("doc_id", "part", "text", "anchors").mapInPandas(passages, PLACES + ", g bigint")
     return shared(found, "h", "g").select("doc_id", part_of().alias("part"), pos_of().alias("s"), (pos_of() + min_words).alias("e"), "redundant")
 

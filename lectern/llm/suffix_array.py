@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Windows, mix64, persist_table, table
-from lectern.llm.spans import BROADCAST_ROWS, FIRST, LATER, MIN_WORDS, PLACES, folded, merged_spans, part_of, places, pos_of, shared, spread, streams, texts
+from lectern.llm.spans import BROADCAST_ROWS, FIRST, LATER, MIN_WORDS, PLACES, folded, merged_spans, packed, part_of, places, pos_of, shared, spread, streams, texts
 
 ANCHOR = 10
 #: Words sorted in one suffix array, unless the runs of one minimizer alone have more.
@@ -243,7 +243,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 owner, position, _ = places(counts)
                 doc, code = ids[owner[m]], (np.array(parts, np.int64)[owner[m]] << 32) | position[m]
                 order, state = folded([h[m]], doc, code)
-                yield pd.DataFrame({"h": h[m][order].view(np.int64), "doc_id": doc[order], "at": code[order], "state": state})
+                yield pd.DataFrame({"h": h[m][order].view(np.int64), "doc_id": doc[order], "at": packed(code[order], state)})
 
     def split(h: np.ndarray, a: int, b: int, m: int) -> Iterator[tuple[int, int, np.uint64]]:
         """A run of a hot minimizer, cut where the largest window of its passages changes; each part with a key of both."""
@@ -276,7 +276,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 doc, code = ids[owner[a]], (np.array([r[0] for r in marks], np.int64)[owner[a]] << 32) | position[a]
                 order, state = folded([key, same], doc, code)
                 size = (b - a)[order] + min_words
-                yield pd.DataFrame({"h": key[order].view(np.int64), "doc_id": doc[order], "at": code[order], "state": state, "n": size.astype(np.int32), "run": [run[i] if st != LATER else None for i, st in zip(order.tolist(), state.tolist())]})
+                yield pd.DataFrame({"h": key[order].view(np.int64), "doc_id": doc[order], "at": packed(code[order], state), "n": size.astype(np.int32), "run": [run[i] if st != LATER else None for i, st in zip(order.tolist(), state.tolist())]})
 
     def sort_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: list[tuple[str, np.ndarray, bool]] = []
@@ -291,10 +291,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
             pending.clear()
 
         for batch in batches:
-            later = batch["state"].to_numpy() == LATER
+            later = (batch["at"].to_numpy() & 3) == LATER
             if later.any():
                 gone = batch[later]
-                start = gone["at"].to_numpy(np.int64)
+                start = gone["at"].to_numpy(np.int64) >> 2
                 yield _intervals(gone["doc_id"].to_numpy(), start, start + gone["n"].to_numpy(), np.ones(len(gone), bool))
             batch = batch[~later]
             keys = batch["h"].to_numpy()
@@ -308,16 +308,16 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                             yield found
                         groups, size = [], 0
                 part = batch.iloc[a:b]
-                for text, doc, at, state in zip(part["run"].tolist(), part["doc_id"].tolist(), part["at"].tolist(), part["state"].tolist()):
+                for text, doc, at in zip(part["run"].tolist(), part["doc_id"].tolist(), part["at"].tolist()):
                     places_, twice = pending.setdefault(text, ([], [False]))
-                    places_.append((doc, at))
-                    twice[0] |= state == FIRST
+                    places_.append((doc, at >> 2))
+                    twice[0] |= at & 3 == FIRST
         close()
         if groups and (found := _shard(groups, min_words)) is not None:
             yield found
 
     slim = texts(docs, id_col, text_col)
-    marked = persist_table(shared(slim.mapInPandas(anchors, PLACES), "h", named=True).select("doc_id", "at", "h", "n"), "minimizers")
+    marked = persist_table(shared(slim.mapInPandas(anchors, PLACES), "h", named=True).select("doc_id", "at", "h", "n"), "minimizers", last=True)
     burning = marked.where(F.col("n") > hot).select("h").distinct()
     n = burning.count()
     if n:
