@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TARGET = 2000
 CHUNKS = "doc_id bigint, chunk_index int, text string"
@@ -51,23 +52,26 @@ def word_chunks(docs: DataFrame, target: int = TARGET) -> DataFrame:
 def section_chunks(sections: DataFrame, target: int = TARGET) -> DataFrame:
     """Chunks of (doc_id, section_index, section_title, lines array<struct<page,text>>), never across sections.
 
-    The chunk index runs on through a document's sections in order; pages are those of a
-    chunk's first and last word.
+    The chunk index runs on through a document's sections in order (front matter first); pages
+    are those of a chunk's first and last word. A document is one row of arrays, and many are a batch.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        order = group["section_index"].fillna(-1).to_numpy().argsort(kind="stable")
-        for _, section in group.iloc[order].iterrows():
-            words, pages = [], []
-            for line in section["lines"]:
-                mine = line["text"].split()
-                words += mine
-                pages += [line["page"]] * len(mine)
-            for a, b in _pack(words, target):
-                index = section["section_index"]
-                rows.append((section["doc_id"], len(rows), None if pd.isna(index) else int(index), section["section_title"], pages[a], pages[b - 1], " ".join(words[a:b])))
-        out = pd.DataFrame(rows, columns=["doc_id", "chunk_index", "section_index", "section_title", "page_start", "page_end", "text"])
-        return out.astype({"section_index": "Int32"})
-
-    return sections.groupBy("doc_id").applyInPandas(run, SECTION_CHUNKS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, *arrays in zip(batch["doc_id"], batch["index"], batch["title"], batch["pages"], batch["texts"]):
+                k = 0
+                for index, title, pages, texts in zip(*arrays):
+                    split = [t.split() for t in texts]
+                    words = [w for ws in split for w in ws]
+                    page = np.repeat(np.asarray(pages, np.int64), [len(ws) for ws in split])
+                    for a, b in _pack(words, target):
+                        rows.append((doc, k, None if index < 0 else index, title, page[a], page[b - 1], " ".join(words[a:b])))
+                        k += 1
+            out = pd.DataFrame(rows, columns=["doc_id", "chunk_index", "section_index", "section_title", "page_start", "page_end", "text"])
+            yield out.astype({"section_index": "Int32"})
+
+    item = F.struct(F.coalesce("section_index", F.lit(-1)).alias("index"), F.col("section_title").alias("title"), "lines")
+    by_doc = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    flat = by_doc.select("doc_id", F.col("s.index").alias("index"), F.col("s.title").alias("title"), F.transform("s", lambda x: x["lines"]["page"]).alias("pages"), F.transform("s", lambda x: x["lines"]["text"]).alias("texts"))
+    return flat.mapInPandas(run, SECTION_CHUNKS)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.references import is_reference_chunk
-from lectern.functions.text import GLUE, squeezed
+from lectern.functions.text import GLUE, has_literal, squeezed
 from lectern.operators import storage
 from lectern.operators.vectors import nearest
 
@@ -48,57 +48,79 @@ def semantic_score(distance: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), 1 - distance), F.lit(0.0))
 
 
-def _numbered(hits: DataFrame, source: str, base: int, *order) -> DataFrame:
-    """Candidates, at most a few hundred, with their place in the order in which sources are merged."""
-    place = F.row_number().over(Window.orderBy(*order)) + base
-    return hits.select("doc_id", "chunk_index", F.lit(source).alias("source"), place.alias("place"), F.col("distance") if "distance" in hits.columns else F.lit(None).cast("double").alias("distance"))
+#: What a candidate source adds to the place numbers, in the order in which sources are merged.
+_BASE = {"semantic": 0, "literal": 10_000, "any": 20_000, "metadata": 30_000}
+
+
+def _found_documents(bib: DataFrame, query: str, terms: list[str], n: int) -> DataFrame:
+    """Documents whose metadata has the phrase, or a term; the first n of each, newest first. At most 2n rows."""
+    phrase = storage.any_field(query.strip()) if query.strip() else F.lit(False)
+    ways = F.filter(F.array(F.when(phrase, "phrase"), F.when(storage.any_of_fields(terms), "terms")), lambda x: x.isNotNull())
+    by = Window.partitionBy("way").orderBy(F.col("year").desc_nulls_last(), F.col("title").isNull(), storage.ascii_lower(F.col("title")), storage.ascii_lower(F.col("path")), "doc_id")
+    hits = bib.select("doc_id", "title", "path", "year", F.explode(ways).alias("way"))
+    return hits.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= n).select("doc_id").distinct()
 
 
 def candidates(chunks: DataFrame, bib: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], n: int, max_distance: float | None = None, excluded: list[int] = ()) -> DataFrame:
-    """(doc_id, chunk_index, source, place, distance): the union of four capped sources, in merge order.
+    """Chunks (with text and bibliography) that one of four capped sources found: place, distance, sources.
 
-    The caps are part of the meaning. ``max_distance`` holds for the semantic source alone.
+    One pass over the chunks: each says which sources it is found by, and of every source the
+    first few are kept. The caps are part of the meaning. ``max_distance`` holds for the semantic
+    source alone.
     """
     near, literal, about = max(5 * n, 40), max(5 * n, 40), max(3 * n, 20)
+    caps = {"semantic": near, "literal": literal, "any": 5 * literal, "metadata": 4 * about}
     terms = terms_of(query)
+    stored = nearest(vectors, query_vector, near, max_distance, excluded).select("doc_id", "chunk_index", "vec_id", "distance")
+    found = _found_documents(bib, query, terms, about).withColumn("about", F.lit(True))
     keep = ~F.col("doc_id").isin(*excluded) if excluded else F.lit(True)
-    order = (F.col("title").isNull(), storage.ascii_lower(F.col("title")), storage.ascii_lower(F.col("path")), "doc_id", "chunk_index")
-    out = _numbered(nearest(vectors, query_vector, near, max_distance, excluded), "semantic", 0, "distance", "vec_id")
-    out = out.unionByName(_numbered(storage.search_chunks(chunks, bib, query, literal).where(keep), "lexical", 10_000, *order))
-    found = storage.search_metadata(bib, query, about).select("doc_id")
-    if terms:
-        out = out.unionByName(_numbered(storage.search_chunks_any(chunks, bib, terms, 5 * literal).where(keep), "lexical", 20_000, *order))
-        found = found.union(storage.search_metadata_terms(bib, terms, about).select("doc_id"))
-    first = chunks.join(found.where(keep).distinct(), "doc_id", "left_semi")
-    ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))).where("rn <= 2")
-    return out.unionByName(_numbered(ranked, "metadata", 30_000, "doc_id", "chunk_index"))
+    has_any = F.lit(False)
+    for t in terms:
+        has_any = has_any | has_literal(F.col("text"), t)
+    rows = chunks.join(F.broadcast(stored), ["doc_id", "chunk_index"], "left").join(F.broadcast(found), "doc_id", "left")
+    flags = {
+        "semantic": F.col("vec_id").isNotNull(), "literal": keep & has_literal(F.col("text"), query), "any": keep & has_any,
+        "metadata": keep & F.coalesce("about", F.lit(False)) & (F.col("chunk_index") < 2),
+    }
+    ways = F.filter(F.array(*[F.when(c, name) for name, c in flags.items()]), lambda x: x.isNotNull())
+    marked = rows.withColumn("ways", ways).where(F.size("ways") > 0).join(bib.select("doc_id", "title", "authors", "year", "doi", "path"), "doc_id")
+    each = marked.withColumn("way", F.explode("ways"))
+    semantic, lexical = F.col("way") == "semantic", F.col("way").isin("literal", "any")
+    by = Window.partitionBy("way").orderBy(
+        F.when(semantic, F.col("distance")), F.when(semantic, F.col("vec_id")), F.when(lexical, F.col("title").isNull()), F.when(lexical, storage.ascii_lower(F.col("title"))),
+        F.when(lexical, storage.ascii_lower(F.col("path"))), "doc_id", "chunk_index",
+    )
+    allowed, base = (F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("way")] for table in (caps, _BASE))
+    first = each.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= max(caps.values())).where(F.col("rn") <= allowed)
+    source = F.when(lexical, "lexical").otherwise(F.col("way"))
+    kept = [c for c in marked.columns if c not in ("doc_id", "chunk_index", "distance", "ways", "about", "vec_id")]
+    return first.groupBy("doc_id", "chunk_index").agg(F.min(F.col("rn") + base).alias("place"), F.max(F.when(semantic, F.col("distance"))).alias("distance"), F.collect_set(source).alias("sources"), *[F.first(c).alias(c) for c in kept])
 
 
 def hybrid(chunks: DataFrame, bib: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], n: int = 10, max_distance: float | None = None, excluded: list[int] = (), include_references: bool = False) -> DataFrame:
-    """(doc_id, chunk_index, distance, score, reasons) of the n best chunks.
+    """(doc_id, chunk_index, distance, score, reasons, place, title) of the n best chunks.
 
     Candidates merge by chunk; chunks or documents that don't exist drop out; scores add up.
     Chunks of reference sections are dropped, or lose half a point when included.
     """
     terms = terms_of(query)
-    merged = candidates(chunks, bib, vectors, query, query_vector, n, max_distance, excluded).groupBy("doc_id", "chunk_index").agg(F.min("place").alias("place"), F.max("distance").alias("distance"), F.collect_set("source").alias("sources"))
-    rows = chunks.join(F.broadcast(merged), ["doc_id", "chunk_index"]).join(bib.select("doc_id", "title", "authors", "year", "doi", "path"), "doc_id")
-    title = F.col("section_title") if "section_title" in chunks.columns else F.lit(None).cast("string")
-    reference = is_reference_chunk(title, F.col("text"))
-    scored = rows.withColumn("lexical", lexical_score(F.concat_ws("\n", title, "text"), query, terms)).withColumn("metadata", metadata_score(query, terms)).withColumn("is_reference", reference)
+    rows = candidates(chunks, bib, vectors, query, query_vector, n, max_distance, excluded)
+    heading = F.col("section_title") if "section_title" in rows.columns else F.lit(None).cast("string")
+    reference = is_reference_chunk(heading, F.col("text"))
+    scored = rows.withColumn("lexical", lexical_score(F.concat_ws("\n", heading, "text"), query, terms)).withColumn("metadata", metadata_score(query, terms)).withColumn("is_reference", reference)
     if not include_references:
         scored = scored.where("not is_reference")
     score = F.round(semantic_score(F.col("distance")) + F.col("lexical") + F.col("metadata") - F.when(F.col("is_reference"), 0.5).otherwise(0.0), 6)
     extra = F.filter(F.array(F.when(F.col("lexical") > 0, "lexical"), F.when(F.col("metadata") > 0, "metadata")), lambda x: x.isNotNull())
-    named = scored.select("doc_id", "chunk_index", "distance", score.alias("score"), F.array_join(F.array_sort(F.array_union("sources", extra)), ",").alias("reasons"), "place")
+    named = scored.select("doc_id", "chunk_index", "distance", score.alias("score"), F.array_join(F.array_sort(F.array_union("sources", extra)), ",").alias("reasons"), "place", "title")
     return named.orderBy(F.desc("score"), F.asc_nulls_last("distance"), "chunk_index", "place").limit(n)
 
 
-def documents(hits: DataFrame, bib: DataFrame, n: int) -> DataFrame:
+def documents(hits: DataFrame, n: int) -> DataFrame:
     """(doc_id, title, score, best_chunk): documents by their best chunk; the first of equal chunks counts."""
     order = [F.desc("score"), F.asc_nulls_last("distance"), F.asc("chunk_index"), F.asc("place")]
     best = hits.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("rn = 1")
-    return best.join(bib.select("doc_id", "title"), "doc_id").orderBy(*order).limit(n).select("doc_id", "title", "score", F.col("chunk_index").alias("best_chunk"))
+    return best.orderBy(*order).limit(n).select("doc_id", "title", "score", F.col("chunk_index").alias("best_chunk"))
 
 
 def gate(hits: DataFrame, judgments: DataFrame, n: int) -> DataFrame:

@@ -56,22 +56,39 @@ def search_metadata(bib: DataFrame, needle: str, limit: int = 20) -> DataFrame:
     return bib.where(any_field(needle.strip())).orderBy(F.col("year").desc_nulls_last(), F.col("title").isNull(), ascii_lower(F.col("title")), ascii_lower(F.col("path")), "doc_id").limit(limit)
 
 
-def search_metadata_terms(bib: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
+def any_of_fields(terms: list[str]) -> Column:
     cond = F.lit(False)
     for t in terms:
         cond = cond | any_field(t)
-    return bib.where(cond).orderBy(F.col("year").desc_nulls_last(), F.col("title").isNull(), ascii_lower(F.col("title")), ascii_lower(F.col("path")), "doc_id").limit(limit)
+    return cond
+
+
+def search_metadata_terms(bib: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
+    return bib.where(any_of_fields(terms)).orderBy(F.col("year").desc_nulls_last(), F.col("title").isNull(), ascii_lower(F.col("title")), ascii_lower(F.col("path")), "doc_id").limit(limit)
+
+
+def _chunk_order(hits: DataFrame) -> list[Column]:
+    version = [F.col("version")] if "version" in hits.columns else []
+    return [F.col("title").isNull(), ascii_lower(F.col("title")), ascii_lower(F.col("path")), F.col("doc_id"), *version, F.col("chunk_index")]
 
 
 def search_chunks(chunks: DataFrame, bib: DataFrame, needle: str, limit: int = 20) -> DataFrame:
-    """Chunks with a literal substring, in the order of their documents' titles. The filter runs before the join."""
+    """Chunks, of all versions, with a literal substring, in the order of their documents' titles. The filter runs before the join."""
     hits = chunks.where(has_literal(F.col("text"), needle)).join(bib.select("doc_id", "title", "path"), "doc_id")
-    return hits.orderBy(F.col("title").isNull(), ascii_lower(F.col("title")), ascii_lower(F.col("path")), "doc_id", "chunk_index").limit(limit)
+    return hits.orderBy(*_chunk_order(hits)).limit(limit)
 
 
-def search_chunks_any(chunks: DataFrame, bib: DataFrame, terms: list[str], limit: int = 100) -> DataFrame:
-    cond = F.lit(False)
+def search_chunks_any(chunks: DataFrame, bib: DataFrame, terms: list[str], limit: int = 100, version: str | None = None) -> DataFrame:
+    """Chunks with any of the terms; of one chunker version, if it is given."""
+    cond = F.lit(version is None) if version is None else F.col("version") == version
+    some = F.lit(False)
     for t in terms:
-        cond = cond | has_literal(F.col("text"), t)
-    hits = chunks.where(cond).join(bib.select("doc_id", "title", "path"), "doc_id")
-    return hits.orderBy(F.col("title").isNull(), ascii_lower(F.col("title")), ascii_lower(F.col("path")), "doc_id", "chunk_index").limit(limit)
+        some = some | has_literal(F.col("text"), t)
+    hits = chunks.where(cond & some).join(bib.select("doc_id", "title", "path"), "doc_id")
+    return hits.orderBy(*_chunk_order(hits)).limit(limit)
+
+
+def document_chunks(chunks: DataFrame, version: str) -> DataFrame:
+    """(doc_id, chunks): each document's chunks of one version in the order of their index."""
+    mine = chunks.where(F.col("version") == version)
+    return mine.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("chunks"))

@@ -109,12 +109,12 @@ def hits(spark, d, n):
 
 @query("r7_hybrid_search", f"WITH RECURSIVE {_HYBRID} SELECT doc_id, chunk_index, distance, score, reasons FROM hits ORDER BY {_RANK} LIMIT 10")
 def hybrid_search(spark, d):
-    return hits(spark, d, 10).drop("place")
+    return hits(spark, d, 10).drop("place", "title")
 
 
 @query("r9_document_search", f"WITH RECURSIVE {_HYBRID.replace('LIMIT 250)', 'LIMIT 625)').replace('LIMIT 50)', 'LIMIT 125)').replace('LIMIT 30)', 'LIMIT 75)')}, h AS (SELECT * FROM hits ORDER BY {_RANK} LIMIT 25), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}) AS k FROM h) SELECT doc_id, title, score, chunk_index AS best_chunk FROM b WHERE k = 1 ORDER BY {_RANK} LIMIT 5")
 def document_search(spark, d):
-    return search.documents(hits(spark, d, 25), bibliography(spark, d), 5)
+    return search.documents(hits(spark, d, 25), 5)
 
 
 @query("r11_relevance_gate", f"WITH RECURSIVE {_HYBRID.replace('LIMIT 250)', 'LIMIT 1250)').replace('LIMIT 50)', 'LIMIT 250)').replace('LIMIT 30)', 'LIMIT 150)')}, h AS (SELECT * FROM hits ORDER BY {_RANK} LIMIT 50) SELECT h.doc_id, h.chunk_index, h.score FROM h LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.quality, 1) <> 0 ORDER BY {_RANK} LIMIT 10")
