@@ -34,9 +34,51 @@ def without_document(doc_id: int, alerts: DataFrame, links: DataFrame, chunks: D
     return alerts.join(mine, "pa_id", "left_anti"), links.join(mine, "pa_id", "left_anti"), chunks.where(F.col("doc_id") != doc_id), state.where(F.col("doc_id") != doc_id)
 
 
+def listing_key() -> list[Column]:
+    """What document listings are ordered by: titled first, titles and paths without ASCII case, then the id."""
+    return [F.col("title").isNull(), ascii_lower(F.col("title")), ascii_lower(F.col("path")), F.col("doc_id")]
+
+
 def listing_order() -> list[Column]:
-    """The order of document listings: titled first, titles and paths without ASCII case, then the id."""
-    return [F.col("title").isNull().asc(), ascii_lower(F.col("title")).asc(), ascii_lower(F.col("path")).asc(), F.col("doc_id").asc()]
+    return [c.asc() for c in listing_key()]
+
+
+def without_documents(gone: DataFrame, documents: DataFrame, alerts: DataFrame, links: DataFrame, chunks: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
+    """All tables without documents (doc_id) and what derives from them: alerts on either side, the links of those
+    alerts, chunks, and decisions on pairs with them."""
+    def without_pairs(rows: DataFrame) -> DataFrame:
+        one, other = gone.withColumnRenamed("doc_id", "doc_a"), gone.withColumnRenamed("doc_id", "doc_b")
+        return rows.join(one, "doc_a", "left_anti").join(other, "doc_b", "left_anti")
+
+    kept = without_pairs(alerts)
+    return {
+        "documents": documents.join(gone, "doc_id", "left_anti"), "alerts": kept, "links": links.join(kept.select("pa_id"), "pa_id", "left_semi"),
+        "chunks": chunks.join(gone, "doc_id", "left_anti"), "decisions": without_pairs(decisions),
+    }
+
+
+#: Ranges into which a global order is cut, and how many rows, chosen by hash, tell where.
+RANGES, SAMPLED = 64, 1024
+
+
+def numbered(rows: DataFrame, key: list[Column], name: str) -> DataFrame:
+    """Rows with their place, from 1, in the order of the key (ascending, nulls first), which must tell rows apart.
+
+    The order is cut into ranges by a small sample; places within a range plus counts of the
+    ranges before give the place. So no task sorts all rows, and the same rows give the same places.
+    """
+    keyed = rows.withColumn("__key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
+    kinds = [f.dataType for f in keyed.schema["__key"].dataType.fields]
+    sample = sorted((tuple((v is not None, v) for v in r["__key"]) for r in keyed.select("__key").orderBy(F.xxhash64("__key")).limit(SAMPLED).collect()), key=lambda t: [(a, b if a else 0) for a, b in t])
+    cuts = sample[:: max(1, len(sample) // RANGES)][1:]
+    literal = lambda row: F.struct(*[F.lit(v).cast(kind).alias(f"k{i}") for i, ((_, v), kind) in enumerate(zip(row, kinds))])
+    part = F.size(F.filter(F.array(*[literal(c) for c in cuts]), lambda c: c <= F.col("__key"))) if cuts else F.lit(0)
+    ranged = keyed.withColumn("__part", part)
+    counts = ranged.groupBy("__part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    inside = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy("__key")))
+    placed = inside.join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
+    return placed.withColumn(name, F.col("__before") + F.col("__rn")).drop("__part", "__rn", "__before", "__key")
 
 
 FIELDS = ("title", "authors", "doi", "path")

@@ -65,11 +65,6 @@ def prompt_evidence(spark, d):
     return ev.within_budget(_packets(spark, d)).select("place", "doc_id", "rendered")
 
 
-@query("e5_prompts", f"WITH {SQL_BIB} SELECT doc_id, 'Summarize the document \"' || title || '\" (' || CAST(year AS VARCHAR) || ').' AS prompt FROM bib")
-def prompts(spark, d):
-    return bibliography(spark, d).select("doc_id", F.format_string('Summarize the document "%s" (%d).', "title", "year").alias("prompt"))
-
-
 @query("j13_evidence_documents", f"WITH RECURSIVE {_HITS} SELECT place, p.doc_id, title FROM pk p LEFT JOIN (SELECT doc_id, title FROM bib WHERE doc_id % 2 = 0) USING (doc_id)")
 def evidence_documents(spark, d):
     known = bibliography(spark, d).where("doc_id % 2 = 0").select("doc_id", "title")
@@ -204,31 +199,6 @@ def collection_names(spark, d):
     return _COLLECTIONS.frame(spark).select("id", ev.collection_name(F.col("raw")).alias("name"))
 
 
-_PRINTS = Rows("id:int print:string", (1, "extract=v3;chunk=c2;mode=llm"), (2, "extract=v3;chunk=c1;mode=llm"), (3, "extract=v3;chunk=c2;mode=rules"), (4, ""), (5, None))
-
-
-@query("f37_fingerprints", f"WITH {_PRINTS.sql('t')} SELECT id, coalesce(contains(';' || print || ';', ';extract=v3;') AND contains(';' || print || ';', ';chunk=c2;'), false) AS is_current, coalesce(print = 'extract=v3;chunk=c2;mode=llm', false) AS equal FROM t")
-def fingerprints(spark, d):
-    """Current: the components that matter agree, whatever the sectioning mode was; equality is another predicate."""
-    want = {"extract": "v3", "chunk": "c2"}
-    parts = F.str_to_map(F.col("print"), F.lit(";"), F.lit("="))
-    current = F.lit(True)
-    for k, v in want.items():
-        current = current & (F.element_at(parts, k) == v)
-    return _PRINTS.frame(spark).select("id", F.coalesce(current, F.lit(False)).alias("is_current"), F.coalesce(F.col("print") == "extract=v3;chunk=c2;mode=llm", F.lit(False)).alias("equal"))
-
-
-@query("p11_stale_documents", "SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'fresh' WHEN coalesce(l.toxic, 1) <> 0 THEN 'stale' WHEN e.doc_id IS NULL THEN 'not indexed' ELSE 'fresh' END AS state FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT DISTINCT vec_id // 5 AS doc_id FROM embeddings) e USING (doc_id)")
-def stale_documents(spark, d):
-    """No text: fresh. Else not current: stale. Else missing from the index, or fresh."""
-    from lectern.sources.tables import vectors
-
-    indexed = vectors(spark, d).select("doc_id").distinct().withColumn("indexed", F.lit(True))
-    joined = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").join(indexed, "doc_id", "left")
-    state = F.when(F.col("quality") == 0, "fresh").when(F.coalesce(F.col("toxic"), F.lit(1)) != 0, "stale").when(F.col("indexed").isNull(), "not indexed").otherwise("fresh")
-    return joined.select("doc_id", state.alias("state"))
-
-
 _ANSWERS = Rows("id:int raw:string", (1, '{"relevance": "strong", "explanation": "This passage explains maps."}'), (2, 'text {"relevance": "WEAK"} tail'), (3, "no json"), (4, '{"relevance": "other"}'), (5, None))
 
 

@@ -148,18 +148,3 @@ def work_keys(spark, d):
     from lectern.operators.duplicates import work_key
 
     return bibliography(spark, d).select("doc_id", work_key(F.col("title"), F.col("year"), F.col("authors")).alias("key"))
-
-
-@query("f44_listing_labels", f"WITH {SQL_BIB} SELECT doc_id, split_part(authors, ' and ', 1) || CAST(year AS VARCHAR) AS tag, regexp_replace(title, '(?i)^(the|an?) (.+)$', '\\2, \\1') AS label FROM bib")
-def listing_labels(spark, d):
-    tag = F.concat(T.surname(F.get(T.author_names(F.col("authors")), F.lit(0))), F.col("year").cast("string"))
-    return bibliography(spark, d).select("doc_id", tag.alias("tag"), F.regexp_replace("title", "(?i)^(the|an?) (.+)$", "$2, $1").alias("label"))
-
-
-@query("w5_tag_letters", f"WITH {SQL_BIB}, t AS (SELECT doc_id, CAST(year AS VARCHAR) || substr(title, 1, 3) AS tag FROM bib) SELECT doc_id, tag, CASE WHEN count(*) OVER (PARTITION BY tag) > 1 THEN row_number() OVER (PARTITION BY tag ORDER BY doc_id) END AS occurrence FROM t")
-def tag_letters(spark, d):
-    from pyspark.sql import Window
-
-    rows = bibliography(spark, d).select("doc_id", F.concat(F.col("year").cast("string"), F.substring("title", 1, 3)).alias("tag"))
-    w = Window.partitionBy("tag")
-    return rows.select("doc_id", "tag", F.when(F.count("*").over(w) > 1, F.row_number().over(w.orderBy("doc_id")).cast("bigint")).alias("occurrence"))

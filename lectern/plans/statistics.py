@@ -111,14 +111,6 @@ def duplicate_candidates(spark, d):
     return duplicates.candidates(bibliography(spark, d), _dismissed(spark, d))
 
 
-@query("j9_same_doi", f"WITH {SQL_BIB} SELECT a.doc_id, min(b.doc_id) AS other FROM bib a JOIN bib b ON lower(a.doi) = lower(b.doi) AND a.doc_id <> b.doc_id GROUP BY a.doc_id")
-def same_doi(spark, d):
-    from lectern.functions.text import doi_key
-
-    keys = bibliography(spark, d).select("doc_id", doi_key(F.col("doi")).alias("key")).where("key is not null")
-    return keys.join(keys.select("key", F.col("doc_id").alias("b")), "key").where("doc_id <> b").groupBy("doc_id").agg(F.min("b").alias("other"))
-
-
 @query("l7_dedupe_deletions", f"WITH {_KEYED}, p AS (SELECT a.doc_id AS x, b.doc_id AS y, min(priority) AS priority FROM keyed a JOIN keyed b USING (priority, key) WHERE a.doc_id < b.doc_id GROUP BY ALL) SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT y FROM p WHERE priority = 0)")
 def dedupe_deletions(spark, d):
     """The documents that stay when the later of each pair with equal content is deleted."""

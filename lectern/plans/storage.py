@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import versions
 from lectern.functions.text import has_literal, missing
 from lectern.operators import storage as ops
 from lectern.operators.chunking import word_chunks
@@ -42,9 +43,13 @@ def pages_text(spark, d):
     return lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("l")).select("doc_id", "page", F.array_join("l.text", "\n").alias("text"))
 
 
-@query("s10_page_counts_mode", f"WITH {SQL_LINES} SELECT doc_id, max(page) AS pages, CASE WHEN max(page) > 200 THEN 'rules' ELSE 'llm' END AS mode FROM lines GROUP BY doc_id")
+@query("s10_page_counts_mode", f"WITH {SQL_LINES} SELECT doc_id, max(page) AS pages, CASE WHEN max(page) > 3 THEN 'rules' ELSE 'llm' END AS mode, 'llm' AS unlimited FROM lines GROUP BY doc_id")
 def page_counts_mode(spark, d):
-    return text_lines(spark, d).groupBy("doc_id").agg(F.max("page").alias("pages")).withColumn("mode", F.when(F.col("pages") > 200, "rules").otherwise("llm"))
+    """A cutoff of three pages, and of none."""
+    from lectern.operators.candidates import section_mode
+
+    pages = text_lines(spark, d).groupBy("doc_id").agg(F.max("page").alias("pages")).withColumns({"has_review": F.lit(False), "available": F.lit(True)})
+    return pages.select("doc_id", "pages").join(section_mode(pages, 3), "doc_id").join(section_mode(pages, 0).withColumnRenamed("mode", "unlimited"), "doc_id")
 
 
 @query("s11_insert_new", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -131,19 +136,33 @@ def point_lookup(spark, d):
     return bib.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").union(bib.join(paths, "path", "left_semi").select("doc_id", "sha", "title", "path")).distinct()
 
 
-@query("p2_document_chunks", f"WITH RECURSIVE {SQL_CHUNKS} SELECT doc_id, count(*) AS chunks, sha256(string_agg(text, '|' ORDER BY chunk_index)) AS sha FROM chunks GROUP BY doc_id")
+V1, V2 = versions.legacy_version(), versions.chunker_version()
+#: Two versions of chunks: the current one of most documents, and old ones, of half their text, of every third.
+_SQL_VERSIONS = f"""{SQL_CHUNKS}, versioned AS (SELECT doc_id, '{V2}' AS version, chunk_index, text FROM chunks WHERE doc_id % 5 <> 0
+  UNION ALL SELECT doc_id, '{V1}', chunk_index, substr(text, 1, CAST(length(text) // 2 AS INTEGER)) FROM chunks WHERE doc_id % 3 = 0)"""
+
+
+def versioned(spark, d):
+    """The chunk table with two versions, from one pass over the texts."""
+    chunks = chunks_of(spark, d)
+    both = F.filter(F.array(F.when(F.col("doc_id") % 5 != 0, F.lit(V2)), F.when(F.col("doc_id") % 3 == 0, F.lit(V1))), lambda x: x.isNotNull())
+    text = F.when(F.col("version") == V1, F.left("text", F.floor(F.length("text") / 2).cast("int"))).otherwise(F.col("text"))
+    return chunks.withColumn("version", F.explode(both)).select("doc_id", "version", "chunk_index", text.alias("text"))
+
+
+@query("p2_document_chunks", f"WITH RECURSIVE {_SQL_VERSIONS} SELECT doc_id, version, count(*) AS chunks, sha256(string_agg(text, '|' ORDER BY chunk_index)) AS sha FROM versioned WHERE version = '{V1}' GROUP BY ALL UNION ALL SELECT doc_id, version, count(*), sha256(string_agg(text, '|' ORDER BY chunk_index)) FROM versioned WHERE version = '{V2}' GROUP BY ALL")
 def document_chunks(spark, d):
-    """Every document's chunks in the order of their index."""
-    listed = chunks_of(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
-    return listed.select("doc_id", F.size("c").cast("bigint").alias("chunks"), F.sha2(F.array_join("c.text", "|"), 256).alias("sha"))
+    """Every document's chunks of a version in the order of their index, for two versions."""
+    chunks, out = versioned(spark, d), None
+    for version in (V1, V2):
+        rows = ops.document_chunks(chunks, version).select("doc_id", F.lit(version).alias("version"), F.size("chunks").cast("bigint").alias("chunks"), F.sha2(F.array_join("chunks.text", "|"), 256).alias("sha"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("p3_list_documents", f"WITH {SQL_BIB} SELECT row_number() OVER (ORDER BY {_ORDER}) AS place, doc_id, title FROM bib")
 def list_documents(spark, d):
-    # the listing's place numbers come from one global order
-    from pyspark.sql import Window
-
-    return bibliography(spark, d).select(F.row_number().over(Window.orderBy(*ops.listing_order())).cast("bigint").alias("place"), "doc_id", "title")
+    return ops.numbered(bibliography(spark, d), ops.listing_key(), "place").select("place", "doc_id", "title")
 
 
 @query("p4_literal_contains", "SELECT item_id, contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '_a%') AS odd, contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the ') AS has FROM benchmark")
@@ -168,19 +187,18 @@ def metadata_terms(spark, d):
     return ops.search_metadata_terms(bibliography(spark, d), ["1999", "Supplier#000000003"]).select("doc_id", "title", "year")
 
 
-@query("p7_fulltext_search", f"WITH RECURSIVE {SQL_CHUNKS}, {SQL_BIB} SELECT c.doc_id, c.chunk_index, b.title FROM chunks c JOIN bib b USING (doc_id) WHERE contains({_FOLD.format('c.text')}, 'thing that') ORDER BY {_ORDER.replace('doc_id', 'c.doc_id')}, c.chunk_index LIMIT 20")
-def fulltext_search(spark, d):
-    return ops.search_chunks(chunks_of(spark, d), bibliography(spark, d), "Thing that").select("doc_id", "chunk_index", "title")
+_C_ORDER = _ORDER.replace("doc_id", "c.doc_id") + ", version, c.chunk_index"
 
 
-@query("p8_any_terms", f"WITH RECURSIVE {SQL_CHUNKS}, {SQL_BIB} SELECT c.doc_id, c.chunk_index, b.title FROM chunks c JOIN bib b USING (doc_id) WHERE contains({_FOLD.format('c.text')}, 'license') OR contains({_FOLD.format('c.text')}, 'nicht') ORDER BY {_ORDER.replace('doc_id', 'c.doc_id')}, c.chunk_index LIMIT 100")
-def any_terms(spark, d):
-    return ops.search_chunks_any(chunks_of(spark, d), bibliography(spark, d), ["license", "nicht"]).select("doc_id", "chunk_index", "title")
+@query("p7_fulltext_search", f"WITH RECURSIVE {_SQL_VERSIONS}, {SQL_BIB} SELECT c.doc_id, c.version, c.chunk_index, b.title FROM versioned c JOIN bib b USING (doc_id) WHERE contains({_FOLD.format('c.text')}, 'licensed') ORDER BY {_C_ORDER} LIMIT 20")
+def fulltext_search(spark, d):
+    """All versions of chunks."""
+    return ops.search_chunks(versioned(spark, d), bibliography(spark, d), "Licensed").select("doc_id", "version", "chunk_index", "title")
 
 
-@query("p9_grep", "SELECT doc_id, regexp_extract(text, '(?i)licensed under[^.]*', 0) AS hit FROM documents WHERE regexp_matches(text, '(?i)licensed under')")
-def grep(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike("(?i)licensed under")).select("doc_id", F.regexp_extract("text", "(?i)licensed under[^.]*", 0).alias("hit"))
+@query("p8_any_terms", f"WITH RECURSIVE {_SQL_VERSIONS}, {SQL_BIB} SELECT c.doc_id, c.version, c.chunk_index, b.title FROM versioned c JOIN bib b USING (doc_id) WHERE version = '{V2}' AND (contains({_FOLD.format('c.text')}, 'license') OR contains({_FOLD.format('c.text')}, 'nicht')) ORDER BY {_C_ORDER} LIMIT 100")
+def any_terms(spark, d):
+    return ops.search_chunks_any(versioned(spark, d), bibliography(spark, d), ["license", "nicht"], version=V2).select("doc_id", "version", "chunk_index", "title")
 
 
 @query("p13_missing_metadata", f"WITH {SQL_BIB} SELECT doc_id, (doi IS NULL OR trim(doi) = '') AS no_doi, (title IS NULL OR trim(title) = '') AS no_title FROM bib")
@@ -228,4 +246,3 @@ def initial_chunks(spark, d):
 
     ranked = chunks_of(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index")).cast("bigint"))
     return ranked.where("k <= 2").select("doc_id", "chunk_index", "k")
-
