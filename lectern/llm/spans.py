@@ -134,7 +134,9 @@ def shared(rows: DataFrame, *keys: str, named: bool = False) -> DataFrame:
     """
     later, to = state_of() == LATER, "__to" if named else keys[0]
     place, by = F.struct("doc_id", F.shiftright("at", 2).alias("at")), Window.partitionBy(to, *keys[1:], later)
-    bounds = rows.withColumn(to, spread(keys[0])).withColumns({"first": F.min(place).over(by), "last": F.max(place).over(by)})
+    # an exchange of its own: what the window computes from would be shuffled as columns besides
+    sent = rows.withColumn(to, spread(keys[0])).repartition(to)
+    bounds = sent.withColumns({"first": F.min(place).over(by), "last": F.max(place).over(by)})
     more = [keys[0], "n"] if named else []
     if named:
         bounds = bounds.withColumn("n", F.count("*").over(by))
