@@ -198,3 +198,23 @@ def registry_record(json: Column) -> Column:
     names = F.filter(F.transform(w["author"], person), lambda x: x.isNotNull())
     year = F.coalesce(*[F.get(F.get(w[k]["date-parts"], F.lit(0)), F.lit(0)) for k in ("published-print", "published-online", "published", "issued", "created", "deposited")])
     return F.struct(title_case(F.get(w["title"], F.lit(0))).alias("title"), F.nullif(F.array_join(names, ", "), F.lit("")).alias("authors"), year.alias("year"), clean(w["DOI"]).alias("doi"))
+
+
+FIELDS = ("title", "authors", "year", "doi")
+
+
+def merged_record(*records: Column) -> Column:
+    """struct of title, authors, year, doi: each field from the first record that has it; titles and authors cleaned.
+
+    Records go in the order registry, embedded, first pages, file name. Empty text and year 0 count as missing.
+    """
+    from lectern.functions.text import clean
+
+    fields = {name: first_of(*[r[name] for r in records]) for name in FIELDS}
+    return F.struct(*[(clean(c) if name in ("title", "authors") else c).alias(name) for name, c in fields.items()])
+
+
+def record_updates(old: Column, new: Column, replace_all: bool) -> Column:
+    """struct of the fields of a proposed record that change the old one: bad ones, or all that differ if ``replace_all``."""
+    bad = {"title": is_bad_title(old["title"]), "authors": is_bad_authors(old["authors"]), "year": is_bad_year(old["year"]), "doi": F.coalesce(F.trim(old["doi"]), F.lit("")) == ""}
+    return F.struct(*[refreshed(old[name], new[name], bad[name], replace_all).alias(name) for name in FIELDS])

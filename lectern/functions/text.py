@@ -123,3 +123,67 @@ def page_label(start: Column, end: Column) -> Column:
 
 def trimmed(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.rtrim(F.left(c, F.lit(n))), F.lit(" [...]"))).otherwise(c)
+
+
+def section_label(number: Column, title: Column, index: Column) -> Column:
+    """Number and title of a section, whichever there are; else "section n", counted from 1; null without any."""
+    named = F.concat_ws(" ", F.nullif(F.trim(number), F.lit("")), F.nullif(F.trim(title), F.lit("")))
+    return F.coalesce(F.nullif(named, F.lit("")), F.concat(F.lit("section "), (index + 1).cast("string")))
+
+
+def distance_label(distance: Column) -> Column:
+    return F.when(distance.isNotNull(), F.format_string("%.4f", distance.cast("double")))
+
+
+def plain_line(c: Column) -> Column:
+    """A line without Markdown decoration; list markers stay."""
+    out = F.regexp_replace(c, r"^\s{0,3}#{1,6}\s+", "")
+    for pattern in (r"\*\*([^*]+)\*\*", "__([^_]+)__", "`([^`]+)`"):
+        out = F.regexp_replace(out, pattern, "$1")
+    return F.trim(out)
+
+
+def plain_summary(c: Column) -> Column:
+    """Paragraphs of plain lines, an empty line between them; blank lines and paragraphs go."""
+    full = lambda a: F.filter(a, lambda x: x != "")
+    parts = F.transform(F.split(F.trim(c), r"\n\s*\n"), lambda p: F.array_join(full(F.transform(F.split(p, "\n"), lambda line: plain_line(line))), "\n"))
+    return F.array_join(full(parts), "\n\n")
+
+
+def human_join(items: Column) -> Column:
+    """a; a and b; a, b, and c. Empty items are left out."""
+    kept = F.filter(items, lambda x: x.isNotNull() & (x != ""))
+    n, last = F.size(kept), F.element_at(kept, -1)
+    head = F.slice(kept, 1, F.greatest(n - 1, F.lit(1)))
+    return F.when(n == 0, "").when(n == 1, F.get(kept, F.lit(0))).when(n == 2, F.array_join(kept, " and ")).otherwise(F.concat(F.array_join(head, ", "), F.lit(", and "), last))
+
+
+_TELLS = "discusses|describes|explains|shows|argues|mentions|covers|focuses on|relates to"
+
+
+def explanation(c: Column) -> Column:
+    """A judgment's explanation without its lead-in ("This passage explains"), beginning in upper case."""
+    bare = F.regexp_replace(squeezed(c), rf"(?i)^(?:the|this)\s+(?:chunk|passage|excerpt|text)\s+(?:{_TELLS}|is about)\s+", "")
+    bare = F.trim(F.regexp_replace(bare, rf"(?i)^(?:{_TELLS})\s+", ""))
+    return F.concat(F.upper(F.left(bare, F.lit(1))), F.substring(bare, F.lit(2), F.length(bare)))
+
+
+def judgment(raw: Column) -> Column:
+    """struct(relevant, relevance, answers_query, missing_concepts, explanation, error) of a model's JSON answer.
+
+    The label decides: only "strong" is relevant. Without a label its own flags count.
+    """
+    body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+    j = F.from_json(body, "relevance string, relevant string, answers_query string, missing_concepts string, explanation string")
+    label = F.lower(F.trim(j["relevance"]))
+    known = F.when(label.isin("strong", "partial", "weak", "none"), label)
+    flag = lambda c: F.when(c.isin("true", "false"), c == "true")
+    listed = F.from_json(j["missing_concepts"], "array<string>")
+    concepts = F.coalesce(F.filter(F.transform(listed, squeezed), lambda x: x != ""), F.array().cast("array<string>"))
+    told = explanation(F.nullif(F.trim(j["explanation"]), F.lit("")))
+    read = j.isNotNull() & (body != "")
+    error = F.when(~F.coalesce(read, F.lit(False)), "no JSON in the answer").when(told.isNull(), "no explanation")
+    return F.struct(
+        F.coalesce(known == "strong", flag(j["relevant"])).alias("relevant"), known.alias("relevance"), F.coalesce(flag(j["answers_query"]), known == "strong").alias("answers_query"),
+        concepts.alias("missing_concepts"), F.coalesce(told, F.lit("no usable judgment")).alias("explanation"), error.alias("error"),
+    )

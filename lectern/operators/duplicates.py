@@ -62,3 +62,18 @@ def unresolved_groups(bib: DataFrame, dismissed: DataFrame) -> DataFrame:
     left = sizes.join(gone, ["priority", "key"], "left").where("size * (size - 1) div 2 > coalesce(gone, 0)")
     names = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("priority") + 1)
     return left.groupBy(names.alias("reason")).agg(F.count("*").alias("unresolved"))
+
+
+def resolved(documents: DataFrame, pairs: DataFrame, actions: DataFrame, dismissed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, dismissals and pairs left after actions (doc_a, doc_b, action) on duplicate pairs.
+
+    "delete a" and "delete b" remove a document, "not duplicate" dismisses the pair, "skip" leaves
+    it for another time; pairs of a deleted document are done with.
+    """
+    told = pairs.join(actions, ["doc_a", "doc_b"], "left")
+    gone = told.where("action in ('delete a', 'delete b')").select(F.when(F.col("action") == "delete a", F.col("doc_a")).otherwise(F.col("doc_b")).alias("doc_id")).distinct()
+    dismissals = dismissed.unionByName(told.where("action = 'not duplicate'").select("doc_a", "doc_b")).distinct()
+    left = told.where("coalesce(action, 'skip') = 'skip'").select(*pairs.columns)
+    for side in ("doc_a", "doc_b"):
+        left = left.join(gone.withColumnRenamed("doc_id", side), side, "left_anti")
+    return documents.join(gone, "doc_id", "left_anti"), dismissals, left.select(*pairs.columns)

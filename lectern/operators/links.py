@@ -30,9 +30,21 @@ def new_alerts(stored: DataFrame, arriving: DataFrame) -> DataFrame:
 
 
 def decided(records: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Records with the status that was decided; unknown statuses and ids change nothing."""
-    d = decisions.where(F.col("decision").isin(*STATUSES)).groupBy("pa_id").agg(F.max_by("decision", "seq").alias("decision"))
-    return records.join(d, "pa_id", "left").withColumn("status", F.coalesce("decision", "status")).drop("decision")
+    """Records with the status that was decided, and when; unknown statuses and ids change nothing. The last decision counts.
+
+    A record that goes back to pending has no time of decision. Times are ISO 8601 text in UTC.
+    """
+    known = decisions if "at" in decisions.columns else decisions.withColumn("at", F.lit(None).cast("string"))
+    d = known.where(F.col("decision").isin(*STATUSES)).groupBy("pa_id").agg(F.max_by(F.struct("decision", "at"), "seq").alias("d"))
+    old = F.col("decided_at") if "decided_at" in records.columns else F.lit(None).cast("string")
+    told = F.when(F.col("d").isNull(), old).when(F.col("d.decision") != "pending", F.col("d.at"))
+    return records.join(d, "pa_id", "left").withColumns({"decided_at": told, "status": F.coalesce("d.decision", "status")}).drop("d")
+
+
+def iso(time: Column) -> Column:
+    """A time as ISO 8601 text in UTC, microseconds only where there are any."""
+    utc = F.to_utc_timestamp(time, F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(utc, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(utc, "SSSSSS"))).otherwise(""), F.lit("+00:00"))
 
 
 def confirmed_links(records: DataFrame, wanted: DataFrame, existing: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import author_names, missing, surname
@@ -22,7 +22,7 @@ def surname_counts(bib: DataFrame) -> DataFrame:
 
 
 def year_histogram(bib: DataFrame, top_year: int, width: int = 40) -> DataFrame:
-    """(year, n, bar): every year between the first and the last, empty ones too; later than ``top_year`` is left out.
+    """(place, year, n, line): every year from the last to the first, empty ones too; later than ``top_year`` is left out. Counts are right-aligned.
 
     The years of a corpus are few, so the gap filling runs over the counts, not the documents.
     """
@@ -30,7 +30,10 @@ def year_histogram(bib: DataFrame, top_year: int, width: int = 40) -> DataFrame:
     ends = counts.agg(F.min("year").alias("a"), F.max("year").alias("b"), F.max("n").alias("most"))
     years = ends.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("year"), "most")
     filled = years.join(counts, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("n"), "most")
-    return filled.select("year", "n", bar(F.col("n"), F.col("most"), width).alias("bar"))
+    digits = F.length(F.col("most").cast("string"))
+    line = F.concat(F.col("year").cast("string"), F.lit(" ("), F.lpad(F.col("n").cast("string"), digits, " "), F.lit("): "), bar(F.col("n"), F.col("most"), width))
+    place = F.row_number().over(Window.orderBy(F.desc("year")))  # years are few
+    return filled.select("year", "n", line.alias("line"), place.cast("bigint").alias("place"))
 
 
 def bar(value: Column, most: Column, width: int) -> Column:
@@ -60,3 +63,8 @@ def buckets(audit: DataFrame, column: str = "bucket") -> DataFrame:
     grouped = audit.groupBy(column).agg(F.count("*").alias("n"))
     total = grouped.agg(F.sum("n").alias("total"))
     return grouped.crossJoin(total).select(column, "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"))
+
+
+def audit_bucket(failed: Column, has_outline: Column, headings: Column) -> Column:
+    """What a document's structure can be taken from: an outline, two headings and more, or neither."""
+    return F.when(failed, "error").when(has_outline, "structural_tree").when(headings >= 2, "heading_candidates").otherwise("neither")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ascii_lower, has_literal
+from lectern.functions.text import ascii_lower, clean, has_literal
 
 
 def latest(events: DataFrame, *keys: str, by: str = "ts", tie: str = "seq") -> DataFrame:
@@ -21,8 +21,18 @@ def get_or_create(existing: DataFrame, arriving: DataFrame, key: str = "sha", or
     return new.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def update_errors(updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, error) of updates that say nothing: all their fields are null."""
+    nothing = F.lit(True)
+    for f in fields:
+        nothing = nothing & F.col(f).isNull()
+    return updates.where(nothing).select(key, F.lit("nothing to update").alias("error"))
+
+
 def updated(rows: DataFrame, updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Left join of updates; null leaves a field as it is."""
+    """Left join of updates; null leaves a field as it is. Titles and authors are cleaned, and blank ones are null."""
+    for f in set(fields) & {"title", "authors"}:
+        updates = updates.withColumn(f, clean(F.col(f)))
     u = updates.select(F.col(key), *[F.col(f).alias(f"__{f}") for f in fields])
     joined = rows.join(u, key, "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns])

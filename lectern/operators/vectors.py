@@ -66,3 +66,20 @@ def nearest_of_all(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     met = left.groupBy("b", "other").cogroup(right.groupBy("b", "other")).applyInPandas(compare, "vec_id bigint, neighbour bigint, distance double")
     by = Window.partitionBy("vec_id").orderBy("distance", "neighbour")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def stored(vectors: DataFrame, vec_id: int) -> list[float]:
+    """The vector of a stored id, which must be there."""
+    rows = vectors.where(F.col("vec_id") == vec_id).select("v").take(1)
+    if not rows:
+        raise KeyError(f"no vector is stored for {vec_id}")
+    return list(rows[0]["v"])
+
+
+def proximity(vectors: DataFrame, k: int) -> DataFrame:
+    """(vec_id, neighbour, distance) for vectors (vec_id, doc_id, v, is_reference): of each chunk that is no reference the k
+    nearest of all, without those of its own document and without references."""
+    owners = vectors.select("vec_id", "doc_id", "is_reference")
+    other = owners.select(F.col("vec_id").alias("neighbour"), F.col("doc_id").alias("__other"), F.col("is_reference").alias("__ref"))
+    joined = nearest_of_all(vectors.drop("is_reference"), k).join(owners, "vec_id").join(other, "neighbour")
+    return joined.where("not is_reference and not __ref and doc_id <> __other").select("vec_id", "neighbour", "distance")

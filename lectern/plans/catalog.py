@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_PARTS = ("storage", "statistics", "metadata", "sectioning", "candidates", "retrieval", "graph", "evidence", "layout", "refresh", "matching", "curation")
+_PARTS = ("storage", "statistics", "metadata", "sectioning", "candidates", "retrieval", "graph", "evidence", "layout", "refresh", "matching", "curation", "rules")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

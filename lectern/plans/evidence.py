@@ -33,15 +33,16 @@ def retrieval_queries(spark, d):
 
 
 _HITS = f"""{SQL_CHUNKS}, {SQL_BIB}, hits AS (SELECT row_number() OVER (ORDER BY c.chunk_index DESC, c.doc_id) AS place, c.doc_id, b.path, b.title, CASE WHEN c.doc_id % 3 > 0 THEN b.authors END AS authors, b.year,
- c.chunk_index + 1 AS page_start, CASE WHEN c.chunk_index % 2 = 0 THEN c.chunk_index + 2 END AS page_end, c.text FROM chunks c JOIN bib b USING (doc_id) WHERE contains(lower(c.text), 'thing')),
+ c.chunk_index + 1 AS page_start, CASE WHEN c.chunk_index % 2 = 0 THEN c.chunk_index + 2 END AS page_end, c.text FROM chunks c JOIN bib b USING (doc_id) WHERE contains(lower(c.text), 'thing') ORDER BY place LIMIT 50),
 pk AS (SELECT place, doc_id, path, CASE WHEN authors IS NOT NULL THEN authors || ' ' || CAST(year AS VARCHAR) ELSE regexp_extract(path, '[^/]+$') END AS label,
  CASE WHEN page_end IS NULL THEN 'p. ' || CAST(page_start AS VARCHAR) ELSE 'pp. ' || CAST(page_start AS VARCHAR) || '–' || CAST(page_end AS VARCHAR) END AS pages, page_start, page_end,
  CASE WHEN length({_SQ.format('text')}) > 1500 THEN rtrim(left({_SQ.format('text')}, 1500)) || ' [...]' ELSE {_SQ.format('text')} END AS excerpt FROM hits)"""
 
 
 def _packets(spark, d):
-    """Every chunk with the word is a hit, later chunks first; every third document has no authors."""
-    found = chunks_of(spark, d).where(F.lower("text").contains("thing")).join(bibliography(spark, d), "doc_id")
+    """Chunks with the word are hits, later chunks first, fifty at most, as many as a question asks for; every third document has no authors."""
+    first = chunks_of(spark, d).where(F.lower("text").contains("thing")).join(bibliography(spark, d), "doc_id")
+    found = first.orderBy(F.desc("chunk_index"), "doc_id").limit(50)
     place = F.row_number().over(Window.orderBy(F.desc("chunk_index"), "doc_id"))
     hits = found.select(place.alias("place"), "doc_id", "path", "title", F.when(F.col("doc_id") % 3 > 0, F.col("authors")).alias("authors"), "year", (F.col("chunk_index") + 1).alias("page_start"), F.when(F.col("chunk_index") % 2 == 0, F.col("chunk_index") + 2).alias("page_end"), "text")
     return ev.packets(hits)
@@ -105,14 +106,6 @@ def bars(spark, d):
     return _BARS.frame(spark).select("id", F.when(F.col("most") > 0, reports.bar(F.col("value"), F.nullif(F.col("most"), F.lit(0)), 8)).otherwise("").alias("bar"))
 
 
-_RANGES = Rows("id:int a:int b:int", (1, 3, 3), (2, 3, 5), (3, None, 5), (4, 4, None), (5, None, None))
-
-
-@query("f39_page_labels", f"WITH {_RANGES.sql('t')} SELECT id, CASE WHEN coalesce(a, b) IS NULL THEN NULL WHEN coalesce(a, b) = coalesce(b, a) THEN 'p. ' || CAST(coalesce(a, b) AS VARCHAR) ELSE 'pp. ' || CAST(a AS VARCHAR) || '–' || CAST(b AS VARCHAR) END AS label FROM t")
-def page_labels(spark, d):
-    return _RANGES.frame(spark).select("id", T.page_label(F.col("a"), F.col("b")).alias("label"))
-
-
 @query("f40_context_windows", f"""WITH t AS (SELECT doc_id, {_SQ.format('text')} AS t FROM documents), p AS (SELECT *, strpos(lower(t), 'license') AS hit FROM t), s AS (SELECT *, greatest(0, least(CASE WHEN hit > 0 THEN hit - 1 + 3 ELSE 120 END - 120, length(t) - 240)) AS s FROM p)
 SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE CASE WHEN s > 0 THEN '[...] ' ELSE '' END || trim(substr(t, s + 1, 240)) || CASE WHEN s + 240 < length(t) THEN ' [...]' ELSE '' END END AS shown FROM s""")
 def context_windows(spark, d):
@@ -143,15 +136,6 @@ def fitted_sections(spark, d):
     return table(spark, d, "documents").select("doc_id", ev.fitted(F.col("text"), 250).alias("fitted"))
 
 
-_MARKDOWN = Rows("id:int line:string", (1, "## Heading"), (2, "a **bold** and `code`"), (3, "__u__ x"), (4, "- item"), (5, ""))
-
-
-@query("f47_plain_lines", f"WITH {_MARKDOWN.sql('t')} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^\\s{{0,3}}#{{1,6}}\\s+', ''), '[*][*]([^*]+)[*][*]', '\\1', 'g'), '__([^_]+)__', '\\1', 'g'), '`([^`]+)`', '\\1', 'g')) AS plain FROM t")
-def plain_lines(spark, d):
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^\s{0,3}#{1,6}\s+", ""), r"\*\*([^*]+)\*\*", "$1"), "__([^_]+)__", "$1"), "`([^`]+)`", "$1")
-    return _MARKDOWN.frame(spark).select("id", F.trim(plain).alias("plain"))
-
-
 @query("f48_trimmed", f"SELECT doc_id, CASE WHEN length({_SQ.format('text')}) > 300 THEN rtrim(left({_SQ.format('text')}, 300)) || ' [...]' ELSE {_SQ.format('text')} END AS shown FROM documents")
 def trimmed(spark, d):
     return table(spark, d, "documents").select("doc_id", T.trimmed(T.squeezed(F.col("text")), 300).alias("shown"))
@@ -199,13 +183,3 @@ def collection_names(spark, d):
     return _COLLECTIONS.frame(spark).select("id", ev.collection_name(F.col("raw")).alias("name"))
 
 
-_ANSWERS = Rows("id:int raw:string", (1, '{"relevance": "strong", "explanation": "This passage explains maps."}'), (2, 'text {"relevance": "WEAK"} tail'), (3, "no json"), (4, '{"relevance": "other"}'), (5, None))
-
-
-@query("f58_relevance_answers", f"""WITH {_ANSWERS.sql('t')}, j AS (SELECT id, lower(regexp_extract(raw, '"relevance": "([a-zA-Z]+)"', 1)) AS r FROM t) SELECT id, CASE WHEN r IN ('strong', 'partial', 'weak', 'none') THEN r END AS relevance, CASE WHEN r IN ('strong', 'partial', 'weak', 'none') THEN r = 'strong' END AS relevant FROM j""")
-def relevance_answers(spark, d):
-    """A model's JSON answer, whatever stands around it; unknown labels are no judgment."""
-    body = F.from_json(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), "relevance string, explanation string")
-    label = F.lower(F.trim(body["relevance"]))
-    known = F.when(label.isin("strong", "partial", "weak", "none"), label)
-    return _ANSWERS.frame(spark).select("id", known.alias("relevance"), (known == "strong").alias("relevant"))

@@ -48,9 +48,16 @@ def judged(spark, d):
     return links.decided(found, decisions)
 
 
-@query("l4_status_changes", f"WITH {_RECORDS} SELECT pa_id, status FROM judged")
+@query("l4_status_changes", f"WITH {_RECORDS}, e AS (SELECT pa_id, substr(pa_id, 1, 1) AS c, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (length(chunk_a) % 7), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS moment FROM records) SELECT pa_id, CASE WHEN c <= '2' THEN 'confirmed' WHEN c = '3' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN c <= '3' THEN moment END AS decided_at FROM e")
 def status_changes(spark, d):
-    return judged(spark, d).select("pa_id", "status")
+    """First digits up to 3 are decided; those of 4 and 5 went back to pending, later digits only by an unknown word."""
+    found = records(spark, d)
+    first = F.substring("pa_id", 1, 1)
+    at = links.iso(F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(hours=F.length("chunk_a") % 7))
+    one = found.where(first <= "5").select("pa_id", F.when(first == "3", "rejected").otherwise("confirmed").alias("decision"), F.lit(1).alias("seq"), at.alias("at"))
+    back = one.where(first.between("4", "5")).select("pa_id", F.lit("pending").alias("decision"), F.lit(2).alias("seq"), "at")
+    odd = found.where(first > "5").select("pa_id", F.lit("perhaps").alias("decision"), F.lit(1).alias("seq"), at.alias("at"))
+    return links.decided(found, one.unionByName(back).unionByName(odd)).select("pa_id", "status", "decided_at")
 
 
 @query("l5_confirmed_links", f"WITH {_RECORDS} SELECT pa_id, sha256('link|' || pa_id) AS cl_id, 'related' AS relationship FROM judged WHERE status = 'confirmed' AND substr(pa_id, 2, 1) <> 'f'")

@@ -58,16 +58,6 @@ def years_in_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_max(F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d{2})\b"), 1)).cast("int").alias("latest"))
 
 
-_PAGES = Rows("id:int text:string", (1, "12\nA Study of\nCorpus Methods\nAda Lovelace\nAbstract"), (2, "doi: 10.1/x\nSHOUTING TITLE HERE\nUniversity of Somewhere"), (3, "Tiny\n\n  Multi-\nagent models\nJANE DOE and JOHN ROE"), (4, ""), (5, None))
-
-
-@query("f28_first_page_guess")
-def first_page_guess(spark, d):
-    """A fold over the lines; its cases are held against expected values in the tests."""
-    rows = _PAGES.frame(spark).select("id", meta.first_lines(F.col("text")).alias("lines"), meta.title_block(F.col("text")).alias("b"))
-    return rows.select("id", meta.title_guess(F.col("lines"), F.col("b")).alias("title"), meta.authors_guess(F.col("lines"), F.col("b")).alias("authors"))
-
-
 @query("f28_page_titles", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
 def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", T.clean(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
@@ -83,22 +73,6 @@ def filename_guess(spark, d):
     return _FILES.frame(spark).select("id", title.alias("title"), year.alias("year"))
 
 
-_WORKS = Rows("id:int work:string", (1, '{"title":["On Maps"],"author":[{"given":"Ada","family":"Byron"},{"family":"Solo"},{"name":"THE GROUP"}],"issued":{"date-parts":[[2003,4]]},"DOI":"10.1/a"}'), (2, '{"title":[],"author":[],"created":{"date-parts":[[1999]]},"published-print":{"date-parts":[[null]]}}'), (3, "not json"), (4, "{}"))
-
-
-@query("f29_registry_records")
-def registry_records(spark, d):
-    return _WORKS.frame(spark).select("id", meta.registry_record(F.col("work")).alias("r")).select("id", "r.*")
-
-
-@query("f30_merge_metadata", f"WITH {SQL_BIB} SELECT b.doc_id, coalesce(CASE WHEN l.quality = 1 THEN NULL ELSE title END, p.path) AS title, coalesce(CASE WHEN l.toxic = 1 THEN NULL ELSE b.year END, 1900) AS year FROM bib b LEFT JOIN labels l USING (doc_id) JOIN (SELECT doc_id, path FROM bib) p USING (doc_id)")
-def merge_metadata(spark, d):
-    """The record's own fields, blanked where labels say so, then what the fallback knows."""
-    marked = bibliography(spark, d).join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
-    title, year = F.when(F.col("quality") == 1, "").otherwise(F.col("title")), F.when(F.col("toxic") == 1, 0).otherwise(F.col("year"))
-    return marked.select("doc_id", meta.first_of(title, F.col("path")).alias("title"), meta.first_of(year, F.lit(1900)).alias("year"))
-
-
 _RECORDS = Rows("id:int title:string authors:string year:int", (1, "A Good Title", "Ada Byron", 1999), (2, "Untitled 7", "admin", 3000), (3, "ABCD1234", "10.1234/x", None), (4, None, None, 1750), (5, "paper.pdf", "scan.pdf", 2000), (6, "Atlas", "C:\\x", 1800))
 
 
@@ -109,15 +83,6 @@ def metadata_quality(spark, d):
     return _RECORDS.frame(spark).select("id", F.array_join(meta.metadata_complaints(F.col("title"), F.col("authors"), F.col("year")), ", ").alias("complaints"))
 
 
-@query("l10_metadata_refresh", f"WITH {SQL_BIB}, p AS (SELECT doc_id, 'Proposed ' || CAST(doc_id AS VARCHAR) AS t FROM labels WHERE quality = 0), o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'untitled' ELSE title END AS title FROM bib) SELECT o.doc_id, CASE WHEN o.doc_id % 2 = 0 AND p.t IS NOT NULL THEN p.t ELSE title END AS title FROM o LEFT JOIN p USING (doc_id)")
-def metadata_refresh(spark, d):
-    """Proposals replace bad titles only; here every second title is made one."""
-    old = bibliography(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, "untitled").otherwise(F.col("title")).alias("title"))
-    new = table(spark, d, "labels").where("quality = 0").select("doc_id", F.concat(F.lit("Proposed "), F.col("doc_id").cast("string")).alias("proposal"))
-    update = meta.refreshed(F.col("title"), F.col("proposal"), meta.is_bad_title(F.col("title")), False)
-    return old.join(new, "doc_id", "left").select("doc_id", F.coalesce(update, "title").alias("title"))
-
-
 @query("f21_doi_keys", f"WITH {SQL_BIB} SELECT doc_id, lower(doi) AS key FROM bib")
 def doi_keys(spark, d):
     doi = F.concat(F.lit("https://doi.org/"), F.col("doi"), F.lit(" ."))
@@ -129,20 +94,6 @@ def title_keys(spark, d):
     return bibliography(spark, d).select("doc_id", T.title_key(F.col("title")).alias("key"))
 
 
-_PEOPLE = Rows("id:int authors:string", (1, "Ada Byron and Bo van der Berg; C. Dee Jr."), (2, "Doe, Jane"), (3, "unknown"), (4, None), (5, "Ann (Lab) Lee & Q"))
-
-
-@query("f23_author_names")
-def author_names(spark, d):
-    return _PEOPLE.frame(spark).select("id", T.author_names(F.col("authors")).alias("names"))
-
-
-@query("f24_surnames")
-def surnames(spark, d):
-    names = F.filter(F.transform(T.author_names(F.col("authors")), T.surname), lambda x: x.isNotNull())
-    return _PEOPLE.frame(spark).select("id", names.alias("names"))
-
-
 @query("f25_work_keys", f"WITH {SQL_BIB} SELECT doc_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || '|' || CAST(year AS VARCHAR) || '|' || lower(split_part(authors, ' and ', 1)) AS key FROM bib")
 def work_keys(spark, d):
     from lectern.operators.duplicates import work_key

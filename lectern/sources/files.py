@@ -22,7 +22,7 @@ def is_kind(content: Column, magic: bytes = PDF) -> Column:
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, content) of all files below a folder. Only asked columns are read."""
+    """(path, length, content) of all files below a folder that hold anything; empty ones aren't listed. Only asked columns are read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
 
 

@@ -139,18 +139,6 @@ def test_empty_inputs(spark):
     assert storage.search_metadata(spark.createDataFrame([], "doc_id bigint, title string, authors string, doi string, path string, year int"), " ").collect() == []
 
 
-def test_dehyphenation_goes_on(spark):
-    lines = [(1, "left", 1, "a recon-"), (1, "left", 2, "struc-"), (1, "left", 3, "tion of self-"), (1, "left", 4, "made maps")]
-    got = [r.text for r in layout.dehyphenated(spark.createDataFrame(lines, "page int, column string, place int, text string")).orderBy("place").collect()]
-    assert got == ["a reconstruction", "of self-made", "maps"]
-
-
-def test_page_by_hand(spark):
-    words = [(1, 40.0, 10.0, 90.0, 20.0, "Left", 600.0), (1, 100.0, 10.5, 150.0, 20.5, "column", 600.0), (1, 40.0, 30.0, 90.0, 40.0, "below", 600.0), (1, 2.0, 100.0, 8.0, 300.0, "margin", 600.0)]
-    frame = spark.createDataFrame(words, "page int, x0 double, y0 double, x1 double, y1 double, text string, width double")
-    assert [r.text for r in layout.pages_to_lines(frame).orderBy("place").collect()] == ["Left column", "below"]
-
-
 def test_ingest_twice_changes_nothing(spark, tmp_path):
     from lectern.streaming.ingest import ingest
 
