@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -71,14 +73,18 @@ def persist_table(df: DataFrame, name: str, last: bool = False) -> DataFrame:
 
     The files stay until ``discard`` or ``release`` removes them, at the latest when the process ends.
     ``last`` says that nothing else reads the shuffles behind ``df``: the driver collects its
-    garbage, upon which Spark removes their files now instead of some time later.
+    garbage, upon which Spark removes their files now instead of some time later. What still holds
+    the plan of the finished write lets go of it within a second, so it is collected twice.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     _written.append((spark, path))
     if last:
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
     return spark.read.schema(df.schema).parquet(path)
 
 
