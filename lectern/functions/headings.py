@@ -16,7 +16,7 @@ COMMON = tuple(
 )
 
 _PLACES = "cent(?:er|re)|college|department|faculty|institute|lab|laboratory|program|school"
-#: What starts like a heading and is none, sorted by what it is: links, rights, dates, venues, captions, addresses.
+#: What starts like a heading and is none: links, rights, dates, venues, captions, addresses.
 _NOT_HEADINGS = (
     r"^(?:https?://|www\.|doi\b|see http://www\.ieee\.org|e-?mail:|fax:|tel:)",
     r"^(?:©|copyright\b)|personal use is also permitted|republication/redistribution|ieee permission",
@@ -33,7 +33,8 @@ _ADDRESS = tuple("beijing cambridge canada center centre china college departmen
 
 
 def is_bad_heading(line: Column) -> Column:
-    return squeezed(line).rlike(NOT_HEADING)
+    """Blank lines, too."""
+    return (squeezed(line) == "") | squeezed(line).rlike(NOT_HEADING)
 
 
 def is_author_line(line: Column) -> Column:

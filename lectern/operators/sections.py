@@ -62,10 +62,6 @@ def after_references(lines: DataFrame) -> DataFrame:
     return lines.withColumn("in_references", F.coalesce(F.max(is_ref).over(w), F.lit(False)))
 
 
-def reference_sections(sections: DataFrame) -> DataFrame:
-    return sections.withColumn("is_reference", is_reference_chunk(F.col("title"), F.col("text")))
-
-
 _NON_CONTENT = ("acknowledgement", "acknowledgements", "acknowledgment", "acknowledgments", "author contributions", "bibliography", "competing interests", "conflict of interest", "conflicts of interest", "funding", "literature cited", "references", "works cited")
 
 

@@ -74,9 +74,30 @@ def numbered_headings(spark, d):
     return _LIT.frame(spark).select("id", H.is_numbered_heading(F.col("line")).alias("numbered"))
 
 
-@query("f8_bad_headings", f"WITH {_LIT.sql('t')} SELECT id, regexp_matches(lower(line), '^figure [0-9]+|^[0-9]+$|^school of|^[a-z][.]\\s+[a-z].+?:') AS bad FROM t")
+_JUNK = Rows(
+    "id:int line:string bad:boolean",
+    (0, "DOI 10.1/x", True), (1, "https://a.org", True), (2, "http://b.org", True), (3, "www.site.org", True), (4, "Citation: X", True), (5, "Editor: Y", True),
+    (6, "Data Availability Statement", True), (7, "Funding", True), (8, "Competing interests", True), (9, "Significance", True), (10, "Author affiliations: Z", True), (11, "Author contributions: W", True),
+    (12, "3 a and b)", True), (13, "1. a. thing", True), (14, "A. B. Name", True), (15, "A. Theor Biol", True), (16, "Copyright X", True), (17, "and personal use is also permitted", True),
+    (18, "republication/redistribution requires IEEE permission", True), (19, "see http://www.ieee.org", True), (20, "© 2020", True), (21, "Received 3 May", True), (22, "Accepted 4 May", True), (23, "Published online", True),
+    (24, "The authors declare", True), (25, "To whom correspondence", True), (26, "This article", True), (27, "PNAS 2005", True), (28, "3 of 12", True), (29, "17", True),
+    (30, "82534 VOLUME 7, 2019", True), (31, "Volume 7, 2019 82534", True), (32, "X. Dong et al.: Title", True), (33, "F. Fu: Title", True), (34, "Figure 3", True), (35, "Fig. 4", True),
+    (36, "Table 2", True), (37, "Physical Review E", True), (38, "Journal of Maps", True), (39, "Proceedings of the", True), (40, "Volume 3", True), (41, "School of Maps", True),
+    (42, "Department of Y", True), (43, "University of Z", True), (44, "Institute of Q", True), (45, "College of R", True), (46, "Faculty of S", True), (47, "Center for T", True),
+    (48, "Centre for U", True), (49, "PACS numbers", True), (50, "(Received 3 May)", True), (51, "(Revised 4 May)", True), (52, "(Accepted)", True), (53, "NIH Public Access", True),
+    (54, "Author Manuscript", True), (55, "NIH-PA Author Manuscript", True), (56, "PMC 2010", True), (57, "Available in PMC", True), (58, "Published in final edited form as:", True), (59, "as:", True),
+    (60, "Corresponding author", True), (61, "email: a@b", True), (62, "E-mail: a@b", True), (63, "Tel: 1", True), (64, "Fax: 2", True), (65, "* note", True),
+    (66, "† note", True), (67, "‡ note", True), (68, "1 Program for X", True), (69, "2 Laboratory of Y", True), (70, "(Ministry of Education)", True), (71, "Canada K1A 0B1", True),
+    (72, "USA", True), (73, "", True), (100, "Introduction", False), (101, "3.1 Data", False), (102, "Results and Discussion", False), (103, "A Department store", False),
+    (104, "Figures", False), (105, "Tables of numbers", False), (106, "The Journal", False), (107, "Receiving", False), (108, "USA today", False), (109, "A. Time evolution", False),
+    (110, "No results", False),
+)
+
+
+@query("f8_bad_headings", f"WITH {_JUNK.sql('t')} SELECT id, bad FROM t")
 def bad_headings(spark, d):
-    return _LIT.frame(spark).select("id", H.is_bad_heading(F.col("line")).alias("bad"))
+    """A line for each kind of thing that isn't a heading, and some that are."""
+    return _JUNK.frame(spark).select("id", H.is_bad_heading(F.col("line")).alias("bad"))
 
 
 @query("f9_author_lines", f"WITH {_LIT.sql('t')} SELECT id, (regexp_matches(line, '\\b[A-Z][A-Za-z.-]+[0-9,*]') AND (contains(line, ',') OR contains(line, ' and '))) OR len(list_intersect(regexp_extract_all(lower(line), '[a-z]+'), ['beijing', 'university', 'china', 'school'])) >= 2 AS author_line FROM t")
