@@ -80,7 +80,7 @@ def words_of(files: DataFrame, parse: Callable[[bytes], Iterable[dict]], magic:
                 except Exception as e:  # a bad file is a row, the batch goes on
                     rows.append(base | {"error": str(e) or type(e).__name__})
             frame = pd.DataFrame(rows, columns=["path", "doc_id", *names, "error"])
-            yield frame.astype({n: "Int32" for n in ("page", "block", "line", "word")})
+            yield frame.astype({n: "Int32" for n in ("page", "block", "line", "word")} | {n: object for n in ("path", "text", "source_text", "error")})
 
     return files.select("path", "doc_id", "content").mapInPandas(run, f"path string, {WORD}, error string")
 
