@@ -81,13 +81,13 @@ def estimated_tokens(c: Column) -> Column:
 OMITTED = "\n\n[... omitted ...]\n\n"
 
 
-def fitted(c: Column, most_tokens: int) -> Column:
+def fitted(c: Column, most_tokens: int | Column) -> Column:
     """Head and tail of a text that is over the budget, with a mark between them."""
-    t = squeezed(c)
-    room = max(1000, max(1000, most_tokens * 4) - len(OMITTED.strip()) - 4)
-    tail = max(250, room // 3)
-    head = max(250, room - tail)
-    return F.when(estimated_tokens(t) <= most_tokens, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(head))), F.lit(OMITTED), F.ltrim(F.right(t, F.lit(tail)))))
+    t, budget = squeezed(c), most_tokens if isinstance(most_tokens, Column) else F.lit(most_tokens)
+    room = F.greatest(F.lit(1000), F.greatest(F.lit(1000), budget * 4) - len(OMITTED.strip()) - 4)
+    tail = F.greatest(F.lit(250), F.floor(room / 3)).cast("int")
+    head = F.greatest(F.lit(250), room - tail).cast("int")
+    return F.when(estimated_tokens(t) <= budget, t).otherwise(F.concat(F.rtrim(F.left(t, head)), F.lit(OMITTED), F.ltrim(F.right(t, tail))))
 
 
 def window_words(c: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.headings import is_heading
-from lectern.functions.references import is_reference_chunk
 from lectern.functions.text import parsed_heading, section_key, squeezed
+from lectern.operators.evidence import estimated_tokens, fitted
 
 
 def heading_lines(lines: DataFrame, max_page: int = 8) -> DataFrame:
@@ -90,3 +90,28 @@ def screening(sections: DataFrame, most: int = 5) -> DataFrame:
     kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda a: (a["title_key"] == x["title_key"]) | (a["text_key"] == x["text_key"])), acc).otherwise(F.array_append(acc, x)))
     best = F.slice(F.array_sort(F.transform(kept, lambda x: F.struct(x["priority"].alias("p"), x["at"].alias("at"), x["shown"].alias("shown")))), 1, most)
     return listed.select("doc_id", F.explode(best).alias("b")).select("doc_id", F.nullif(F.col("b.at"), F.lit(-1)).alias("section_index"), F.col("b.shown").alias("shown"))
+
+
+def screening_excerpts(sections: DataFrame, most: int = 5, context: int = 16_384) -> DataFrame:
+    """(doc_id, section_index, shown, text, was_cut): the screening sections, in document order, cut to a budget of tokens.
+
+    All but 1,500 tokens of the context are shared out; a section gets its share, or what is left, a hundred at least.
+    The first that no longer fits ends the list, unless it is the only one. A fold over five items.
+    """
+    budget = max(250, context - 1500)
+    chosen = screening(sections, most).join(sections.select("doc_id", "section_index", F.col("text").alias("whole")).withColumn("at", F.coalesce("section_index", F.lit(-1))).drop("section_index"), "doc_id")
+    chosen = chosen.where(F.coalesce("section_index", F.lit(-1)) == F.col("at"))
+    listed = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "shown", squeezed(F.col("whole")).alias("whole")))).alias("s"))
+    share = F.greatest(F.lit(100), F.floor(F.lit(budget) / F.size("s")))
+
+    def step(state: Column, x: Column) -> Column:
+        text = fitted(x["whole"], F.least(share, F.greatest(F.lit(100), F.lit(budget) - state["used"])))
+        tokens = estimated_tokens(x["shown"]) + estimated_tokens(text) + 20
+        full = state["done"] | (state["used"] >= budget) | ((state["used"] + tokens > budget) & (F.size(state["out"]) > 0))
+        item = F.struct(x["at"].alias("at"), x["shown"].alias("shown"), text.alias("text"), (text != x["whole"]).alias("was_cut"))
+        return F.struct(F.when(full, state["used"]).otherwise(state["used"] + tokens).alias("used"), F.when(full, state["out"]).otherwise(F.array_append(state["out"], item)).alias("out"), full.alias("done"))
+
+    nothing = F.array().cast("array<struct<at:int,shown:string,text:string,was_cut:boolean>>")
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), nothing.alias("out"), F.lit(False).alias("done"))
+    rows = listed.select("doc_id", F.explode(F.aggregate("s", start, step)["out"]).alias("e"))
+    return rows.select("doc_id", F.nullif(F.col("e.at"), F.lit(-1)).alias("section_index"), "e.shown", "e.text", "e.was_cut")

@@ -11,7 +11,7 @@ from lectern.operators import reports
 from lectern.plans.catalog import query
 from lectern.plans.storage import chunks_of
 from lectern.sources.fixtures import Rows
-from lectern.sources.tables import SQL_BIB, SQL_CHUNKS, SQL_LINES, bibliography, table
+from lectern.sources.tables import SQL_BIB, SQL_CHUNKS, bibliography, table
 
 _SQ = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _FOCUS = f"""u AS (SELECT conv_id, turn, {_SQ.format('text')} AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user'),

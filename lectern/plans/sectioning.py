@@ -132,6 +132,12 @@ def screening_sections(spark, d):
     return sections.screening(section_spans_of(spark, d))
 
 
+@query("c12_screening_excerpts")
+def screening_excerpts(spark, d):
+    """Their texts within a budget of 2,500 tokens; tested against a loop."""
+    return sections.screening_excerpts(section_spans_of(spark, d), context=2500).select("doc_id", "section_index", "shown", F.length("text").alias("chars"), "was_cut")
+
+
 _SECTIONS = Rows("id:int idx:int number:string title:string", (1, 0, None, "Abstract"), (2, None, None, None), (3, 4, "3.1", " "), (4, 5, None, "Funding"), (5, 6, None, "Discussion and Conclusion"), (6, 7, None, "Overview"), (7, 2, None, None))
 
 

@@ -8,7 +8,6 @@ from lectern.operators import duplicates, reports
 from lectern.plans.catalog import query
 from lectern.plans.storage import chunks_of
 from lectern.sources.tables import SQL_BIB, SQL_CHUNKS, SQL_LINES, bibliography, table, text_lines
-from lectern.functions.text import repetition_key
 
 _R = f"WITH RECURSIVE {SQL_CHUNKS}"
 

@@ -85,3 +85,36 @@ def test_candidates_have_ids_and_context(spark):
     assert got[0].before == ["prose one"] and got[0].after == ["prose two", "so we see 3 Results"] and got[3].after == ["x"]
 
 
+
+
+def test_screening_excerpts_equal_a_loop(spark):
+    from lectern.operators import sections
+
+    def tokens(text):
+        return max(1, -(-len(text) // 4)) if text else 0
+
+    def cut(text, most):
+        if tokens(text) <= most:
+            return text
+        room = max(1000, max(1000, most * 4) - len("[... omitted ...]") - 4)
+        tail = max(250, room // 3)
+        head = max(250, room - tail)
+        return text[:head].rstrip() + "\n\n[... omitted ...]\n\n" + text[-tail:].lstrip()
+
+    rows = [(1, k, None, title, " ".join(f"w{k}x{i}" for i in range(n))) for k, (title, n) in enumerate([("Introduction", 30), ("Methods", 900), ("References", 10), ("Results", 700), ("Methods", 5), ("Conclusion", 20)])]
+    rows += [(2, None, None, None, "only front matter"), (3, 0, None, "Abstract", "word " * 9000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, section_index int, number string, title string, text string")
+    got = {(r.doc_id, r.section_index): (r.text, r.was_cut) for r in sections.screening_excerpts(frame, context=2500).collect()}
+    expected = {}
+    for doc, chosen in ((1, [0, 1, 3, 5]), (2, [None]), (3, [0])):
+        texts = {r[1]: " ".join(r[4].split()) for r in rows if r[0] == doc}
+        shown = {r[1]: r[3] or "front matter" for r in rows if r[0] == doc}
+        used, share = 0, max(100, 1000 // len(chosen))
+        for k in chosen:
+            text = cut(texts[k], min(share, max(100, 1000 - used)))
+            size = tokens(shown[k]) + tokens(text) + 20
+            if used >= 1000 or (used + size > 1000 and used):
+                break
+            expected[doc, k] = (text, text != texts[k])
+            used += size
+    assert got == expected
