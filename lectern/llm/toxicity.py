@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, *,
         return pd.DataFrame({"seed": [keys[0]], "rows": [np.asarray(m.rows, np.float32).tobytes()], "weight": [m.weight.tolist()], "bias": [m.bias]})
 
     seeds = sample.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
-    made = seeds.repartition(len(SEEDS), "seed").groupBy("seed").applyInPandas(one, "seed int, rows binary, weight array<double>, bias double").collect()
+    made = seeds.repartitionByRange(len(SEEDS), "seed").groupBy("seed").applyInPandas(one, "seed int, rows binary, weight array<double>, bias double").collect()
     parts = [Model(np.frombuffer(r["rows"], np.float32).reshape(BUCKETS, -1), np.array(r["weight"]), r["bias"]) for r in sorted(made, key=lambda r: r["seed"])]
     return side_by_side(parts) if parts else train([], [])
 
