@@ -53,9 +53,12 @@ def title_words(c: Column, most: int, stop: tuple[str, ...] = _STOP) -> Column:
     return F.array_join(F.aggregate(F.split(c, " "), start, step)["kept"], " ")
 
 
-def lettered_heading(c: Column, titles: tuple[str, ...] = COMMON) -> Column:
-    """The heading that a line such as "B. Results of the gameManuscript We study" starts with; null if it has none."""
-    line = unglued(c)
+def lettered_heading(c: Column, titles: tuple[str, ...] = COMMON, bare: Column | None = None) -> Column:
+    """The heading that a line such as "B. Results of the gameManuscript We study" starts with; null if it has none.
+
+    ``bare`` may give the line without its glued labels, if a column of that is there.
+    """
+    line = unglued(c) if bare is None else bare
     number, rest = F.regexp_extract(line, r"^([A-Z])\.\s+(.+)$", 1), F.regexp_extract(line, r"^([A-Z])\.\s+(.+)$", 2)
     title = F.coalesce(squeezed(known_prefix(rest, titles)), F.nullif(title_words(rest, 12), F.lit("")))
     return F.when((number != "") & ~_bad(line), F.concat(number, F.lit(". "), title))
@@ -85,9 +88,9 @@ def _bad(line: Column) -> Column:
     return (line == "") | is_bad_heading(line)
 
 
-def is_numbered_candidate(c: Column) -> Column:
+def is_numbered_candidate(c: Column, bare: Column | None = None) -> Column:
     """A number, Roman or decimal, or a letter, and a title: whatever comes after. Broader than a numbered heading."""
-    line = unglued(c)
+    line = unglued(c) if bare is None else bare
     return F.length(line).between(3, 220) & ~_bad(line) & ~is_author_line(line) & line.rlike(rf"^(?:[IVXLCDM]+\.?|\d+(?:\.\d+)*\.?|[A-Z]\.)\s+{_TITLE}")
 
 
@@ -95,10 +98,11 @@ def starts_common(c: Column) -> Column:
     return squeezed(c).rlike(rf"(?i)^(?:{_any_of(OPENING)})(?=$|\s|[.:;,-])")
 
 
-def is_candidate(c: Column, titles: tuple[str, ...] = COMMON) -> Column:
+def is_candidate(c: Column, titles: tuple[str, ...] = COMMON, bare: Column | None = None, embedded: Column | None = None) -> Column:
     """Whether a line may be or hold a heading. Prefers to find too many."""
     line = squeezed(c)
-    return F.length(line).between(3, 220) & ~_bad(line) & ~is_author_line(line) & (starts_common(line) | is_numbered_candidate(line) | (F.size(embedded_headings(line, titles)) > 0))
+    within = embedded_headings(line, titles) if embedded is None else embedded
+    return F.length(line).between(3, 220) & ~_bad(line) & ~is_author_line(line) & (starts_common(line) | is_numbered_candidate(line, bare) | (F.size(within) > 0))
 
 
 # ---- the heading within a candidate --------------------------------------------------------

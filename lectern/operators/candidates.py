@@ -25,10 +25,12 @@ def with_context(lines: DataFrame, max_page: int | None = None, around: int = 2,
     seen = lines.withColumns({"line_text": squeezed(F.col("text")), "before": F.collect_list(squeezed(F.col("text"))).over(w.rowsBetween(-around, -1)), "after": F.collect_list(squeezed(F.col("text"))).over(w.rowsBetween(1, around))})
     if max_page is not None:
         seen = seen.where(F.col("page") <= max_page)
-    line = F.col("line_text")
-    lettered, embedded, common = C.lettered_heading(line, titles), C.embedded_headings(line, titles), C.common_prefix(line, titles)
+    # in steps: each column is made once, whatever refers to it
+    line, bare, embedded = F.col("line_text"), F.col("__bare"), F.col("__embedded")
+    seen = seen.withColumns({"__bare": C.unglued(line), "__embedded": C.embedded_headings(line, titles)})
+    seen = seen.withColumns({"__lettered": C.lettered_heading(line, titles, bare), "__common": C.common_prefix(line, titles), "__maybe": C.is_candidate(line, titles, bare, embedded)})
     one = lambda c: F.array(c)
-    texts = F.when(lettered.isNotNull(), one(lettered)).when(F.size(embedded) > 0, embedded).when(common.isNotNull(), one(common)).when(C.is_candidate(line, titles), one(F.lit(None).cast("string")))
+    texts = F.when(F.col("__lettered").isNotNull(), one(F.col("__lettered"))).when(F.size(embedded) > 0, embedded).when(F.col("__common").isNotNull(), one(F.col("__common"))).when(F.col("__maybe"), one(F.lit(None).cast("string")))
     found = seen.withColumn("texts", texts).where("texts is not null").select("doc_id", "line_index", "page", "line_text", "before", "after", F.posexplode("texts").alias("at", "raw"))
     found = found.withColumn("candidate_text", C.unglued(F.col("raw")))
     first = found.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "line_index", F.lower("candidate_text")).orderBy("at"))).where("rn = 1")
