@@ -4,20 +4,18 @@ A fingerprint has 256 bits: bit k is the majority of bit k over the hashes of th
 distinct words (lower case, punctuation dropped). Documents are near duplicates if their
 fingerprints differ in at most ``THRESHOLD`` bits.
 
-Anchors are the codewords of the binary Golay code [23,12,7], a perfect covering code: every
-23-bit string lies within radius 3 of exactly one codeword. Each of the eleven 23-bit blocks of a
-fingerprint (all its bits but three) is sent to every codeword within covering radius plus the
-block threshold (3 + 1); one of them, within radius 3, is its home. At an anchor, homes are
-compared with everything that was sent there, on all 256 bits. Fingerprints that differ in at
-most 21 bits have a block that differs in at most one, so they surely meet; at 42 bits they meet
-in some block with a probability of about 0.99.
+The search is exact. A fingerprint is cut into 21 blocks (``PARTS``), each with a number of bits
+that may differ in it; the values of a block are its anchors. A fingerprint has its home at its own
+value and is sent to every anchor within the block's number. If two fingerprints differed by more
+than that in every block, they would be 43 bits apart at least, so all pairs of up to 42 bits meet
+at some home, where they are compared on all 256 bits.
 
 Fingerprints that are equal are folded into one before anything is replicated, so thousands of
-exact copies cost one comparison. Homes and members of every anchor are counted first (a table
-of fixed size); an anchor with many of them is compared as a grid of cells of bounded size, so
-no group sits in one task. A cell reports for each near duplicate the smallest fingerprint of
-its local component instead of all pairs, and the number of its links; a pair that meets at
-several anchors is counted at the first only. Components over all cells come from alternating
+exact copies cost one comparison. The others are spread over chunks of bounded size by hash; a cell
+is two chunks, of which one supplies the homes and one the members, so no group sits in one task
+whatever the texts have in common. A cell reports for each near duplicate one fingerprint of
+its local component instead of all pairs, and the number of its links; a pair that meets in
+several blocks is counted in the first only. Components over all cells come from alternating
 large-star and small-star steps, each cut by a written table.
 """
 
@@ -35,8 +33,15 @@ from pyspark.sql import functions as F
 from lectern.llm.common import discard, flatten, like, mix64, persist_table, pick, table, word_hashes
 
 BITS, BLOCKS, BLOCK_THRESHOLD, THRESHOLD = 256, 11, 1, 42
-#: Homes and members that are compared in one cell, at most about so many of each.
-CELL = 1 << 13
+#: Blocks of the search: bits, and how many of them may differ. One more in each makes THRESHOLD + 1 in all.
+PARTS = [(14, 2)] + [(13, 1)] * 2 + [(12, 1)] * 18
+#: Fingerprints in a chunk, about; a cell compares two chunks.
+CELL = 1 << 17
+#: Cells of up to so many pairs are compared as a whole, which is faster there than block by block.
+WHOLE = 1 << 30
+#: Pairs compared at once, and pairs close on two words before all bits are looked at.
+_TILE, _HELD = 1 << 16, 1 << 20
+_F = ["f0", "f1", "f2", "f3"]
 _WORD = re.compile(r"\w+")
 _BATCH = 1 << 20
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -80,7 +85,7 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-# ---- the Golay code -----------------------------------------------------------------------
+# ---- the Golay code: coarser anchors, which near_duplicates doesn't use as pairs within THRESHOLD may miss each other there
 
 _POLY = 0b101011100011
 
@@ -131,120 +136,99 @@ def homes_of(values: np.ndarray) -> np.ndarray:
     return values ^ _PATTERNS[_STARTS[s]]
 
 
-# ---- comparing at an anchor ---------------------------------------------------------------
-
-MEMBER, HOME, BOTH = 1, 2, 3
-
+# ---- comparing in a cell ------------------------------------------------------------------
 
-def _numbers(code: np.ndarray, block: int) -> np.ndarray:
-    """Anchors from 0 to BLOCKS * 4096: the code is systematic, its upper 12 bits tell a codeword."""
-    return (code >> 11) + (block << 12)
+LEFT, RIGHT, BOTH = 1, 2, 3
 
 
 def _prints(frame: pd.DataFrame) -> np.ndarray:
-    return np.stack([frame[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(4)], axis=1)
-
-
-def counted(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Homes and members of every anchor."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        homes, members = np.zeros(BLOCKS << 12, np.int64), np.zeros(BLOCKS << 12, np.int64)
-        for batch in batches:
-            for start in range(0, len(batch), 4096):
-                values = blocks_of(_prints(batch.iloc[start : start + 4096]))
-                for b in range(BLOCKS):
-                    _, code, home = anchors(values[:, b])
-                    at = _numbers(code, b)
-                    members += np.bincount(at, minlength=len(members))
-                    homes += np.bincount(at[home], minlength=len(homes))
-        has = np.flatnonzero(members)
-        yield pd.DataFrame({"anchor": has.astype(np.int32), "homes": homes[has], "members": members[has]})
-
-    got = prints.mapInPandas(run, "anchor int, homes bigint, members bigint").groupBy("anchor").agg(F.sum("homes").alias("homes"), F.sum("members").alias("members")).toPandas()
-    homes, members = np.zeros(BLOCKS << 12, np.int64), np.zeros(BLOCKS << 12, np.int64)
-    homes[got["anchor"]], members[got["anchor"]] = got["homes"], got["members"]
-    return homes, members
-
-
-def _replicate(grid, cell: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wide, high = (np.maximum(1, -(-n // cell)) for n in grid.value)  # columns by home, rows by member
-        for batch in batches:
-            for start in range(0, len(batch), 4096):
-                part = batch.iloc[start : start + 4096]
-                values, node = blocks_of(_prints(part)), part["node"].to_numpy()
-                salt = mix64(node.view(np.uint64))
-                for b in range(BLOCKS):
-                    who, code, home = anchors(values[:, b])
-                    at = _numbers(code, b)
-                    w, h = wide[at], high[at]
-                    x, y = (salt[who] % w.astype(np.uint64)).astype(np.int64), (salt[who] // np.uint64(1 << 20) % h.astype(np.uint64)).astype(np.int64)
-                    # as a member in its row of cells, as a home in its column; both in one
-                    each = np.repeat(np.arange(len(who)), w)
-                    column = np.arange(len(each)) - np.repeat(np.cumsum(w) - w, w)
-                    rows = [(each, column, y[each], np.where(home[each] & (column == x[each]), BOTH, MEMBER))]
-                    homes = np.flatnonzero(home & (h > 1))
-                    each = np.repeat(homes, h[homes])
-                    row = np.arange(len(each)) - np.repeat(np.cumsum(h[homes]) - h[homes], h[homes])
-                    rows.append((each[row != y[each]], x[each[row != y[each]]], row[row != y[each]], np.full((row != y[each]).sum(), HOME)))
-                    who_, cx, cy, role = (np.concatenate(c) for c in zip(*rows))
-                    key = (at[who_] << 44) | (cx << 22) | cy
-                    take = who[who_]
-                    yield pd.DataFrame({"cell": key, "role": role.astype(np.int8), "node": node[take], "n": part["n"].to_numpy()[take], **{f"f{k}": part[f"f{k}"].to_numpy()[take] for k in range(4)}})
-
-    return run
-
-
-def _first_meeting(prints: np.ndarray, homes: np.ndarray, i: np.ndarray, j: np.ndarray, block: int, swapped: np.ndarray) -> np.ndarray:
-    """Whether the pairs (i at its home, j) meet here first: at no earlier block, and not at the smaller one's home instead.
-
-    ``homes`` and ``prints`` have a row each for every fingerprint, a column for every block. ``swapped`` tells where j is the smaller.
-    """
-    reach = 3 + BLOCK_THRESHOLD
-    first = np.ones(len(i), bool)
-    for b in range(block + 1):
-        other = np.bitwise_count((homes[j, b] ^ prints[i, b]).astype(np.uint64)) <= reach
-        if b == block:
-            return first & ~(other & swapped)
-        mine = np.bitwise_count((homes[i, b] ^ prints[j, b]).astype(np.uint64)) <= reach
-        first &= ~(mine | other)
-    return first
-
-
-def _cell(nodes: np.ndarray, prints: np.ndarray, counts: np.ndarray, role: np.ndarray, block: int, threshold: int) -> tuple[np.ndarray, ...]:
-    """Of a cell: (node, smallest node of its component) for those that aren't it; (node, links) for those that have any."""
-    homes, members = np.flatnonzero(role & HOME), np.flatnonzero(role & MEMBER)
-    left, right = [], []
-    step = max(1, (1 << 20) // max(len(members), 1))
-    for a in range(0, len(homes), step):
-        rows = homes[a : a + step]
-        distance = np.zeros((len(rows), len(members)), np.uint16)
-        for k in range(4):
-            distance += np.bitwise_count(prints[rows, k][:, None] ^ prints[None, members, k])
-        i, j = np.nonzero(distance <= threshold)
-        i, j = rows[i], members[j]
-        far = nodes[i] != nodes[j]
-        left.append(i[far])
-        right.append(j[far])
-    i, j = np.concatenate(left or [homes[:0]]), np.concatenate(right or [homes[:0]])
-    if not len(i):
-        return nodes[:0], nodes[:0], nodes[:0], nodes[:0]
-    used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-    nodes, prints, counts = nodes[used], prints[used], counts[used]
-    i, j = back[: len(i)], back[len(i) :]
-    values = blocks_of(prints, block + 1)
-    own = np.stack([homes_of(values[:, b]) for b in range(block + 1)], axis=1)
-    links = np.zeros(len(nodes))
-    for a in range(0, len(i), 1 << 18):
-        x, y = i[a : a + (1 << 18)], j[a : a + (1 << 18)]
-        fresh = _first_meeting(values, own, x, y, block, nodes[y] < nodes[x])
-        links += np.bincount(x[fresh], counts[y[fresh]], len(nodes)) + np.bincount(y[fresh], counts[x[fresh]], len(nodes))
-    order = np.argsort(nodes, kind="stable")
-    rank = np.empty(len(nodes), np.int64)
-    rank[order] = np.arange(len(nodes))
-    i, j = rank[i], rank[j]
-    label = np.arange(len(nodes))
+    """(4, fingerprints) unsigned words."""
+    return np.stack([frame[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(4)])
+
+
+def _values(prints: np.ndarray, part: int) -> np.ndarray:
+    """The bits of a block."""
+    low, bits = sum(n for n, _ in PARTS[:part]), PARTS[part][0]
+    word, low = divmod(low, 64)
+    v = prints[word] >> np.uint64(low)
+    if low + bits > 64:
+        v = v | (prints[word + 1] << np.uint64(64 - low))
+    return (v & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _close(a: np.ndarray, b: np.ndarray, threshold: int, room: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns (i, j) of a and b that differ in at most ``threshold`` bits of the first two words. Rooms hold a tile, or a row if that is more."""
+    n = b.shape[1]
+    step = max(1, _TILE // max(n, 1))
+    for s in range(0, a.shape[1], step):
+        rows = a[:2, s : s + step, None]
+        size = rows.shape[1] * n
+        x, d, more = (r[:size].reshape(rows.shape[1], n) for r in (room, counts[0], counts[1]))
+        np.bitwise_count(np.bitwise_xor(rows[0], b[0], out=x), out=d)
+        np.bitwise_count(np.bitwise_xor(rows[1], b[1], out=x), out=more)
+        d += more
+        at = np.flatnonzero(d <= threshold)
+        if len(at):
+            yield at // n + s, at % n
+
+
+def _meetings(a: np.ndarray, b: np.ndarray, part: int, threshold: int, *rooms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the columns (i, j) where b's was sent to a's home in this block, those that ``_close`` finds."""
+    bits, reach = PARTS[part]
+    ball = np.array([sum(1 << k for k in at) for w in range(reach + 1) for at in combinations(range(bits), w)], np.int64)
+    home, other = _values(a, part), _values(b, part)
+    left, right = np.argsort(home, kind="stable"), np.argsort(other, kind="stable")
+    a, b = a[:2, left], b[:2, right]
+    sizes = np.bincount(other, minlength=1 << bits)
+    starts = np.cumsum(sizes) - sizes
+    values, begins = np.unique(home[left], return_index=True)
+    for v, lo, hi in zip(values.tolist(), begins.tolist(), np.append(begins[1:], len(home)).tolist()):
+        near = v ^ ball
+        n = sizes[near]
+        ends = n.cumsum()
+        if not ends[-1]:
+            continue
+        members = np.repeat(starts[near] - ends + n, n) + np.arange(ends[-1])
+        for i, j in _close(a[:, lo:hi], b[:, members], threshold, *rooms):
+            yield left[i + lo], right[members[j]]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, group: int, groups: int, threshold: int, whole: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a cell within the threshold, each in one of the groups of blocks, once."""
+    rooms = np.empty(max(_TILE, b.shape[1]), np.uint64), np.empty((2, max(_TILE, b.shape[1])), np.uint8)
+    if threshold > THRESHOLD or a.shape[1] * b.shape[1] <= whole:
+        searches = [(0, _close(a, b, threshold, *rooms))] if group == 0 else []
+    else:
+        searches = [(part, _meetings(a, b, part, threshold, *rooms)) for part in range(group, len(PARTS), groups)]
+    for part, found in searches:
+        for i, j in _gathered(found):
+            x = a[:, i] ^ b[:, j]
+            near = np.bitwise_count(x).sum(axis=0, dtype=np.int64) <= threshold
+            i, j, x = i[near], j[near], x[:, near]
+            first = np.ones(len(i), bool)
+            for p in range(part):  # those that met in a block before were found there
+                first &= np.bitwise_count(_values(x, p)) > PARTS[p][1]
+            yield i[first], j[first]
+
+
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in batches that are worth the calls."""
+    held, size = [], 0
+    for pair in found:
+        held.append(pair)
+        size += len(pair[0])
+        if size >= _HELD:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest member of each component, for labels to which edges come."""
+    i, j = label[i], label[j]
+    apart = i != j
+    i, j = i[apart], j[apart]
     while True:
         before = label.copy()
         low = np.minimum(label[i], label[j])
@@ -252,21 +236,34 @@ def _cell(nodes: np.ndarray, prints: np.ndarray, counts: np.ndarray, role: np.nd
         np.minimum.at(label, j, low)
         label = label[label]
         if (label == before).all():
-            break
+            return label
+
+
+def _cell(nodes: np.ndarray, prints: np.ndarray, counts: np.ndarray, side: np.ndarray, group: int, groups: int, threshold: int, whole: int) -> tuple[np.ndarray, ...]:
+    """Of a cell: (node, one node of its component) for those that aren't it; (node, links) for those that have any."""
+    lefts, rights = np.flatnonzero(side & LEFT), np.flatnonzero(side & RIGHT)
+    label, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+    for i, j in _pairs(prints[:, lefts], prints[:, rights], group, groups, threshold, whole):
+        i, j = lefts[i], rights[j]
+        once = (i < j) | (side[i] != BOTH)  # a chunk against itself finds every pair from both ends
+        i, j = i[once], j[once]
+        np.add.at(links, i, counts[j])
+        np.add.at(links, j, counts[i])
+        label = _joined(label, i, j)
     changed, linked = np.flatnonzero(label != np.arange(len(nodes))), np.flatnonzero(links)
-    return nodes[order[changed]], nodes[order[label[changed]]], nodes[linked], links[linked].astype(np.int64)
+    return nodes[changed], nodes[label[changed]], nodes[linked], links[linked]
 
 
-def _compare(threshold: int):
+def _compare(groups: int, threshold: int, whole: int):
     """Over rows sorted by cell: edges (a, b, links null) and links (a, null, links)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
 
         def cells(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            key, nodes, role, counts, prints = frame["cell"].to_numpy(), frame["node"].to_numpy(), frame["role"].to_numpy(), frame["n"].to_numpy(), _prints(frame)
+            key, nodes, side, counts, prints = frame["cell"].to_numpy(), frame["node"].to_numpy(), frame["side"].to_numpy(), frame["n"].to_numpy(), _prints(frame)
             cuts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1))
-            found = [_cell(nodes[a:b], prints[a:b], counts[a:b], role[a:b], int(key[a] >> 56), threshold) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 and (role[a:b] & HOME).any()]
+            found = [_cell(nodes[a:b], prints[:, a:b], counts[a:b], side[a:b], int(key[a] % groups), groups, threshold, whole) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
             if found:
                 edges = pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
                 links = pd.DataFrame({"a": np.concatenate([f[2] for f in found]), "links": np.concatenate([f[3] for f in found])}).groupby("a", as_index=False).sum()
@@ -291,6 +288,21 @@ def _compare(threshold: int):
     return run
 
 
+def links_of(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, whole: int = WHOLE) -> DataFrame:
+    """Of distinct fingerprints (node, n, f0 to f3): edges (a, b, links null) that join all near ones, and links (a, null, links), weighted by n."""
+    size = nodes.count()
+    chunks = max(1, -(-size // cell))
+    groups = 7 if chunks <= 3 else 3 if chunks <= 8 else 1  # of blocks, so that few chunks still make some tasks
+    cells = chunks * (chunks + 1) // 2 * groups
+    tasks = min(cells, max(64, size * chunks * groups >> 17))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    sent = nodes.select("node", "n", *_F, F.pmod(F.xxhash64("node"), F.lit(chunks)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") == low, LEFT).otherwise(RIGHT).cast("tinyint")
+    sent = sent.withColumn("pair", F.floor(high * (high + 1) / 2).cast("long") + low)
+    sent = sent.select(F.explode(F.sequence(F.col("pair") * groups, F.col("pair") * groups + groups - 1)).alias("cell"), side.alias("side"), "node", "n", *_F)
+    return sent.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell").mapInPandas(_compare(groups, threshold, whole), "a bigint, b bigint, links bigint")
+
+
 # ---- components ---------------------------------------------------------------------------
 
 
@@ -318,8 +330,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 # ---- the operator -------------------------------------------------------------------------
 
-_F = ["f0", "f1", "f2", "f3"]
-
 
 def _classes(docs: DataFrame, threshold: int, id_col: str, text_col: str, cell: int) -> DataFrame:
     """(doc_id, t, class_id, n_links, redundant) for every row with an id and a text; t is the text's hash."""
@@ -330,15 +340,12 @@ def _classes(docs: DataFrame, threshold: int, id_col: str, text_col: str, cell:
             signed = f.view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "t": batch["t"], **{f"f{k}": pd.arrays.IntegerArray(signed[:, k].copy(), ~has) for k in range(4)}})
 
-    spark = docs.sparkSession
     slim = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
     made = persist_table(slim.mapInPandas(prints, "doc_id bigint, t bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"), "prints")
     # one node for each fingerprint; its number is fixed by being written
     nodes = made.where("f0 is not null").groupBy(*_F).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     nodes = persist_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    grid = spark.sparkContext.broadcast(counted(nodes))
-    sent = nodes.select("node", "n", *_F).mapInPandas(_replicate(grid, cell), "cell bigint, role tinyint, node bigint, n bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-    met = persist_table(sent.repartition("cell").sortWithinPartitions("cell").mapInPandas(_compare(threshold), "a bigint, b bigint, links bigint"), "met")
+    met = persist_table(links_of(nodes, threshold, cell), "met")
     roots = components(met.where("b is not null").select("a", "b"))
     links = met.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     grouped = nodes.join(roots.withColumnRenamed("node", "a"), F.col("node") == F.col("a"), "left").drop("a")

@@ -138,3 +138,54 @@ def test_the_smallest_id_stays(spark, order):
     docs = spark.createDataFrame([(10 * order, " ".join(words)), (20 * order, " ".join(near))], "doc_id bigint, text string")
     got = simhash.near_duplicates(docs).collect()
     assert {r.class_id for r in got} == {min(10 * order, 20 * order)} and [r.doc_id for r in got if r.redundant] == [max(10 * order, 20 * order)]
+
+
+def test_no_group_and_no_link_is_missing(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = docs.select("doc_id", "text").toPandas().sort_values("doc_id", ignore_index=True)
+    ids = rows["doc_id"].tolist()
+    near = all_pairs(*simhash.fingerprints(rows["text"].tolist()))
+    roots = components(len(ids), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    got = {r.doc_id: (r.class_id, r.n_links) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {a: (ids[r], int(n)) for a, r, n in zip(ids, roots, near.sum(axis=1))}
+
+
+def test_texts_at_the_edge_of_the_threshold_are_linked(spark):
+    """Pair 5973 is 39 bits apart, and no block of 23 bits brings its texts to one anchor."""
+    texts = []
+    for k in [*range(300), 5973]:
+        words = [f"w{k}x{i}" for i in range(60)]
+        texts += [" ".join(words), " ".join(words[:-8] + [f"z{k}x{i}" for i in range(3)])]
+    near = all_pairs(*simhash.fingerprints(texts))
+    assert near[600, 601] and not near[::2, 1::2].diagonal().all()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_links for r in simhash.near_duplicates(docs).collect()} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+@pytest.mark.parametrize("cell, whole", [(simhash.CELL, simhash.WHOLE), (simhash.CELL, 0), (3000, 0), (500, simhash.WHOLE)])
+def test_pairs_spread_over_all_blocks_are_found(spark, cell, whole):
+    """42 bits apart, as evenly as can be over the search's blocks or over eleven of 23 bits; pairs at 43 bits stay apart."""
+    r = np.random.default_rng(11)
+    base = r.integers(0, 2**63, (3000, 4)).astype(np.uint64)
+    other = base.copy()
+    starts = np.concatenate([[0], np.cumsum([n for n, _ in simhash.PARTS])])
+    assert starts[-1] == simhash.BITS and sum(t + 1 for _, t in simhash.PARTS) == simhash.THRESHOLD + 1
+    for k, row in enumerate(other):
+        if k % 3 == 2:
+            flips = [b for t in range(11) for b in r.choice(23, 4 if t < 9 else 3, replace=False) + 23 * t]
+        else:
+            spared = int(r.integers(0, 21)) if k % 3 == 0 else None
+            flips = [b for t, (n, near) in enumerate(simhash.PARTS) for b in r.choice(n, near + (t != spared), replace=False) + starts[t]]
+        assert len(flips) == (43 if k % 3 == 1 else 42)
+        for bit in flips:
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    f = np.concatenate([base, other]).view(np.int64)
+    weights = r.integers(1, 4, len(f))
+    nodes = spark.createDataFrame([(i, int(weights[i]), *map(int, row)) for i, row in enumerate(f)], "node bigint, n bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    rows = simhash.links_of(nodes, cell=cell, whole=whole).collect()
+    near = all_pairs(f.view(np.uint64), np.ones(len(f), bool))
+    links = np.zeros(len(f), np.int64)
+    for row in rows:
+        links[row.a] += row.links or 0
+    assert (links == near @ weights).all() and near.sum() == 4000
+    assert {frozenset((row.a, row.b)) for row in rows if row.b is not None} == {frozenset((k, k + 3000)) for k in range(3000) if k % 3 != 1}
