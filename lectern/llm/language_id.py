@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import flatten, like, pick
+from lectern.llm.common import flatten, like, pick, tidied
 
 BUCKETS = 1 << 15
 #: The bound of the training sample: so many labelled documents of each language.
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, *, id_col: str
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "bucket": np.append(at, -1).astype(np.int32), "n": np.append(counts[at], n)})
 
-    got = rows.mapInPandas(sums, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.mapInPandas(lambda batches: tidied(sums(batches)), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(set(got["lang"])))
     counts, number = np.zeros((BUCKETS, len(languages)), np.int64), np.zeros(len(languages))
     column = got["lang"].map({lang: k for k, lang in enumerate(languages)}).to_numpy(np.int64)
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model, threshold: float = MARGIN, *, id_col
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang": batch["lang"], "predicted": out["predicted"], "margin": out["margin"], "accepted": out["accepted"]})
 
     slim = pick(docs, doc_id=id_col, lang=lang_col, text=text_col)
-    return slim.select(F.col("doc_id").cast("long"), "lang", "text").mapInPandas(run, RESULT)
+    return slim.select(F.col("doc_id").cast("long"), "lang", "text").mapInPandas(lambda batches: tidied(run(batches)), RESULT)
 
 
 def accepted_only(docs: DataFrame, model: Model, threshold: float = MARGIN, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -211,8 +211,8 @@ def accepted_only(docs: DataFrame, model: Model, threshold: float = MARGIN, *, t
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def ok(text: pd.Series, lang: pd.Series) -> pd.Series:
-        return decide(held.value, text, lang, threshold)["accepted"]
+    def ok(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from tidied(decide(held.value, text, lang, threshold)["accepted"] for text, lang in batches)
 
     flat, at = flatten(docs)
     return like(flat.where(ok(F.col(at[text_col]), F.col(at[lang_col]))), docs)

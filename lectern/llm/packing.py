@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import persist_table, pick, table
+from lectern.llm.common import persist_table, pick, table, tidied
 
 CAPACITY = 2048
 #: Documents in a bucket, about: what one task numbers of a length that all documents have.
@@ -147,7 +147,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, *, id_col: str = "doc_id",
 
     by = Window.partitionBy("n_words", "bucket").orderBy("doc_id", "n", "tie")
     ranked = rest.withColumn("rn", F.row_number().over(by)).join(offsets, ["n_words", "bucket"])
-    small = ranked.select("doc_id", "n", "n_words", (F.col("rn") - 1 + F.col("offset")).alias("rank")).mapInPandas(place, RESULT)
+    small = ranked.select("doc_id", "n", "n_words", (F.col("rn") - 1 + F.col("offset")).alias("rank")).mapInPandas(lambda batches: tidied(place(batches)), RESULT)
     # whole-capacity pieces: numbered by the same counted offsets; sums by bucket are few rows
     full = bucketed.where(F.col("n") >= capacity).withColumn("k", F.floor(F.col("n") / capacity).cast("long"))
     preceding = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import discard, flatten, like, mix64, persist_table, pick, table, word_hashes
+from lectern.llm.common import discard, flatten, like, mix64, persist_table, pick, table, tidied, word_hashes
 
 BITS, BLOCKS, BLOCK_THRESHOLD, THRESHOLD = 256, 11, 1, 42
 #: Blocks of the search: bits, and how many of them may differ. One more in each makes THRESHOLD + 1 in all.
@@ -300,7 +300,8 @@ def links_of(nodes: DataFrame, threshold: int = THRESHOLD, cell: int = CELL, who
     side = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") == low, LEFT).otherwise(RIGHT).cast("tinyint")
     sent = sent.withColumn("pair", F.floor(high * (high + 1) / 2).cast("long") + low)
     sent = sent.select(F.explode(F.sequence(F.col("pair") * groups, F.col("pair") * groups + groups - 1)).alias("cell"), side.alias("side"), "node", "n", *_F)
-    return sent.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell").mapInPandas(_compare(groups, threshold, whole), "a bigint, b bigint, links bigint")
+    compare = _compare(groups, threshold, whole)
+    return sent.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell").mapInPandas(lambda batches: tidied(compare(batches)), "a bigint, b bigint, links bigint")
 
 
 # ---- components ---------------------------------------------------------------------------
@@ -341,7 +342,7 @@ def _classes(docs: DataFrame, threshold: int, id_col: str, text_col: str, cell:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "t": batch["t"], **{f"f{k}": pd.arrays.IntegerArray(signed[:, k].copy(), ~has) for k in range(4)}})
 
     slim = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text")
-    made = persist_table(slim.mapInPandas(prints, "doc_id bigint, t bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"), "prints")
+    made = persist_table(slim.mapInPandas(lambda batches: tidied(prints(batches)), "doc_id bigint, t bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"), "prints")
     # one node for each fingerprint; its number is fixed by being written
     nodes = made.where("f0 is not null").groupBy(*_F).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     nodes = persist_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")

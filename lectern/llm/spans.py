@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import flatten, like, persist_table, pick, runs, word_hashes
+from lectern.llm.common import flatten, like, persist_table, pick, runs, tidied, word_hashes
 
 MIN_WORDS = 50
 _BATCH = 1 << 19
@@ -176,7 +176,7 @@ def merged_spans(found: DataFrame) -> DataFrame:
                     rows.append((doc, s, e, e - s, sum(max(0, min(e, b) - max(s, a)) for a, b in gone)))
             yield pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "n_words", "n_cut"]).astype({"start_word": "int32", "end_word": "int32", "n_words": "int32", "n_cut": "int32"})
 
-    return collected(found).mapInPandas(run, SPANS)
+    return collected(found).mapInPandas(lambda batches: tidied(run(batches)), SPANS)
 
 
 def without_words(text: str, cut: list[tuple[int, int]]) -> str:
@@ -197,8 +197,10 @@ def cut_documents(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id",
     cuts = collected(found.where("redundant")).select(F.col("doc_id").alias("__doc"), F.col("part").alias("__part"), F.col("cut").alias("__cut"))
 
     @F.pandas_udf("string")
-    def shorten(text: pd.Series, cut: pd.Series) -> pd.Series:
-        return pd.Series([t if c is None or t is None else without_words(t, _merged(c)) for t, c in zip(text, cut)], dtype=object)
+    def shorten(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from tidied(pd.Series([t if c is None or t is None else without_words(t, _merged(c)) for t, c in zip(text, cut)], dtype=object) for text, cut in batches)
+
+    shorten = shorten.asNondeterministic()  # else the filter and the columns below run it once each, in workers of their own
 
     flat, at = flatten(docs)
     text, long = at[text_col], F.col("__cut").isNotNull()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Windows, mix64, persist_table, table
+from lectern.llm.common import Windows, mix64, persist_table, table, tidied
 from lectern.llm.spans import LATER, MIN_WORDS, PLACES, cut_documents, folded, merged_spans, packed, part_of, places, pos_of, shared, streams, texts
 
 PERIOD = 31
@@ -66,9 +66,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_i
                 yield pd.DataFrame({"h": first[order].view(np.int64), "g": (second[order] >> np.uint64(32)).astype(np.int64), "doc_id": doc[order], "at": packed(code[order], state)})
 
     slim = texts(docs, id_col, text_col)
-    marked = shared(slim.mapInPandas(anchors, PLACES), "h").groupBy("doc_id", part_of().alias("part")).agg(F.collect_set(pos_of()).alias("anchors"))
+    marked = shared(slim.mapInPandas(lambda batches: tidied(anchors(batches)), PLACES), "h").groupBy("doc_id", part_of().alias("part")).agg(F.collect_set(pos_of()).alias("anchors"))
     marked = persist_table(marked, "anchors", last=True)
-    found = slim.join(marked, ["doc_id", "part"]).select("doc_id", "part", "text", "anchors").mapInPandas(passages, PLACES + ", g bigint")
+    found = slim.join(marked, ["doc_id", "part"]).select("doc_id", "part", "text", "anchors").mapInPandas(lambda batches: tidied(passages(batches)), PLACES + ", g bigint")
     return shared(found, "h", "g").select("doc_id", part_of().alias("part"), pos_of().alias("s"), (pos_of() + min_words).alias("e"), "redundant")
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import flatten, like, pick, table, word_hashes
+from lectern.llm.common import flatten, like, pick, table, tidied, word_hashes
 
 BUCKETS, DIM, EPOCHS = 1 << 16, 8, 12
 #: The bound of the training sample: labelled documents of each class.
@@ -225,7 +225,7 @@ def detect(docs: DataFrame, model: Model, threshold: float = THRESHOLD, *, id_co
             p = held.value.probabilities(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "p_toxic": p.round(6), "toxic": p >= threshold})
 
-    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, RESULT)
+    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInPandas(lambda batches: tidied(run(batches)), RESULT)
 
 
 def clean_only(docs: DataFrame, model: Model, threshold: float = THRESHOLD, *, text_col: str = "text") -> DataFrame:
@@ -233,8 +233,8 @@ def clean_only(docs: DataFrame, model: Model, threshold: float = THRESHOLD, *, t
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def ok(text: pd.Series) -> pd.Series:
-        return pd.Series(held.value.probabilities(text.tolist()) < threshold)
+    def ok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(pd.Series(held.value.probabilities(text.tolist()) < threshold) for text in batches)
 
     flat, at = flatten(docs)
     return like(flat.where(ok(F.col(at[text_col]))), docs)

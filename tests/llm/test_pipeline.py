@@ -88,3 +88,43 @@ def test_run_equals_brute_force(spark, sf):
         made.setdefault(r.pack_id, []).append((r.slot, r.n_words))
     assert words == lengths
     assert sorted(tuple(n for _, n in sorted(p)) for p in made.values()) == sorted(packs)
+
+
+def test_a_worker_gives_back_what_its_task_took(spark):
+    """200 MB of small blocks are freed below one that stays, so the heap can't shrink by itself."""
+    from lectern.llm.common import tidied
+
+    def held():
+        import re
+        from pathlib import Path
+
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+    def run(batches):
+        import ctypes
+
+        take = ctypes.CDLL(None).malloc
+        free = ctypes.CDLL(None).free
+        take.restype, free.argtypes = ctypes.c_void_p, [ctypes.c_void_p]
+        for batch in batches:
+            places = [take(4000) for _ in range(50_000)]
+            for p in places:
+                ctypes.memset(p, 1, 4000)
+            for p in places[:-1]:  # the last one keeps the heap from shrinking by itself
+                free(p)
+            yield batch
+
+    def measured(batches):
+        before = held()
+        yield from tidied(run(batches))
+        import pandas as pd
+
+        yield pd.DataFrame({"id": [held() - before]})
+
+    kept = [r.id for r in spark.range(1, 2, 1, 1).mapInPandas(measured, "id bigint").collect()]
+    assert kept[0] == 1 and kept[1] < 60
+
+
+def test_repeats_are_cut_in_one_pass_of_python(spark, sf):
+    plan = corpus_pipeline.cut_repeats(spark, docs_of(spark, sf), sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
