@@ -91,12 +91,13 @@ def heading_prefixes(spark, d):
     return _STARTS.frame(spark).select("n", C.common_prefix(F.col("line")).alias("prefix"), C.lettered_heading(F.col("line")).alias("lettered"))
 
 
-def candidates_of(spark, d):
-    return K.with_context(known_lines(spark, d), max_page=8)
+def candidates_of(spark, d, max_page=None):
+    """Of whole documents, unless a last page is given."""
+    return K.with_context(known_lines(spark, d), max_page)
 
 
 @query("c2_candidates", f"""WITH {_SQL}, e AS (SELECT doc_id, line_index, page, line, unnest(CASE WHEN line LIKE 'A. %' THEN ['A. Time'] WHEN line LIKE 'B. %' THEN ['B. Effects of the'] WHEN len(embedded) > 0 THEN embedded
-  WHEN n IN (9, 15) THEN [split_part(line, '.', 1)] WHEN numbered THEN [NULL] ELSE [] END) AS text, n FROM headed WHERE page <= 8)
+  WHEN n IN (9, 15) THEN [split_part(line, '.', 1)] WHEN numbered THEN [NULL] ELSE [] END) AS text, n FROM headed)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_index, k) - 1 AS INTEGER) AS candidate_id, line_index, text AS candidate_text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_index) AS k FROM e)""")
 def all_candidates(spark, d):
     """Candidates among the known lines of all documents."""
@@ -104,7 +105,7 @@ def all_candidates(spark, d):
 
 
 def kept_candidates(spark, d):
-    return K.filtered(candidates_of(spark, d))
+    return K.filtered(candidates_of(spark, d, max_page=8))
 
 
 _SQL_KEPT = f"""{_SQL}, e AS (SELECT doc_id, line_index, page, line, noise, n, unnest(CASE WHEN line LIKE 'A. %' THEN ['A. Time'] WHEN line LIKE 'B. %' THEN ['B. Effects of the'] WHEN len(embedded) > 0 THEN embedded WHEN n IN (9, 15) THEN [split_part(line, '.', 1)] WHEN numbered THEN [clean] ELSE [] END) AS heading FROM headed WHERE page <= 8),
