@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in one block of the blocked join.
-BLOCK = 2048
+#: Vectors in one block of the blocked join, at most; few vectors are cut into blocks of SMALL, for some tasks.
+BLOCK, SMALL = 1 << 16, 1 << 12
+#: A tile of the comparison, and pairs whose distances are computed at once.
+_ROWS, _COLUMNS, _HELD = 256, 4096, 1 << 16
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -39,35 +43,81 @@ def nearest(vectors: DataFrame, query: list[float], n: int, max_distance: float
     return top.where(~F.col("doc_id").isin(*excluded)) if excluded else top
 
 
-def nearest_of_all(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def nearest_of_all(vectors: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """(vec_id, neighbour, distance, rank) of the k nearest of every vector, itself included; exact.
 
-    Each pair of blocks is compared in numpy by one task and hands on k candidates a row only;
-    no pair of vectors is ever a row of a shuffle.
+    Each pair of blocks is compared by one task and hands on k candidates a row only; no pair of
+    vectors is ever a row of a shuffle. Work grows with the square of the vectors, the memory of a
+    task doesn't. A matrix product finds the pairs that may be among the k, with a margin for its
+    rounding; only their distances are computed in full.
     """
-    blocks = max(1, math.ceil(vectors.count() / block))
-    placed = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.withColumn("other", others)
-    right = placed.withColumn("other", others).select("vec_id", "v", F.col("other").alias("b"), F.col("b").alias("other"))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"vec_id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "distance": np.zeros(0)})]
-        if len(a) and len(b):
-            b = b.sort_values("vec_id")
-            x, ids = np.stack(b["v"].to_numpy()), b["vec_id"].to_numpy()
-            for start in range(0, len(a), 64):
-                part = a.iloc[start : start + 64]
-                d = ((np.stack(part["v"].to_numpy())[:, None, :] - x[None]) ** 2).sum(2).round(6)
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"vec_id": np.repeat(part["vec_id"].to_numpy(), order.shape[1]), "neighbour": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
-        return pd.concat(out)
-
-    met = left.groupBy("b", "other").cogroup(right.groupBy("b", "other")).applyInPandas(compare, "vec_id bigint, neighbour bigint, distance double")
+    told = vectors.agg(F.count("*").alias("n"), F.bool_and(F.col("v") == F.col("v").cast("array<float>").cast("array<double>")).alias("narrow")).first()
+    blocks = max(1, math.ceil(told["n"] / block)) if block else max(min(6, math.ceil(told["n"] / SMALL)), math.ceil(told["n"] / BLOCK))
+    sent = F.col("v").cast("array<float>") if told["narrow"] else F.col("v")
+    placed = vectors.select("vec_id", sent.alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
+    other, own = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), F.col("b")
+    # rows of block b meet each block as "other"; the partition is the cell, however small its rows are
+    pairs = placed.select("vec_id", "v", "b", other).select("vec_id", "v", F.explode(F.array(F.struct((own * blocks + F.col("other")).alias("cell"), F.lit(True).alias("asks")), F.struct((F.col("other") * blocks + own).alias("cell"), F.lit(False).alias("asks")))).alias("c"))
+    sent = pairs.select("vec_id", "v", "c.cell", "c.asks").repartitionById(blocks * blocks, F.col("cell").cast("int"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        got = pa.Table.from_batches(parts).combine_chunks()
+        asks, ids, v = got["asks"].to_numpy(), got["vec_id"].to_numpy(), got["v"].combine_chunks()
+        x = v.flatten().to_numpy().reshape(len(v), -1)
+        if v.null_count or len(pc.unique(pc.list_value_length(v))) > 1:
+            raise ValueError("vectors differ in length")
+        order = np.flatnonzero(~asks)[np.argsort(ids[~asks], kind="stable")]
+        rows, at, distance = _nearest_rows(x[asks], x[order], k)
+        found = pa.table({"vec_id": ids[asks][rows], "neighbour": ids[order][at], "distance": distance})
+        yield from found.to_batches(max_chunksize=1 << 16)
+
+    met = sent.select("vec_id", "v", "asks").mapInArrow(compare, "vec_id bigint, neighbour bigint, distance double")
     by = Window.partitionBy("vec_id").orderBy("distance", "neighbour")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _nearest_rows(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance to six places) of the k nearest of each row of x; of equals the first rows of y."""
+    norms_x, norms_y = (np.einsum("ij,ij->i", v, v, dtype=np.float64) for v in (x, y))
+    largest = norms_y.max(where=np.isfinite(norms_y), initial=0)
+    top = norms_x.max(where=np.isfinite(norms_x), initial=largest)
+    kind, unit = (np.float32, 2.0**-24) if top < 1e12 else (np.float64, 2.0**-53)
+    # |x - y|^2 without |x|^2 as one product
+    left = np.hstack([-2 * x.astype(kind), np.ones((len(x), 1), kind)])
+    right = np.ascontiguousarray(np.hstack([y.astype(kind), norms_y[:, None].astype(kind)]).T)
+    margin = 2e-6 + 4 * (x.shape[1] + 8) * unit * (norms_x + 2 * largest)
+    room = np.empty((_ROWS, _COLUMNS), kind)
+    nothing = np.zeros(0, np.int64)
+    out = [(nothing, nothing, np.zeros(0))]
+    for start in range(0, len(x) if len(y) else 0, _ROWS):
+        part = slice(start, min(start + _ROWS, len(x)))
+        n = part.stop - start
+        rows, at, d = out[0]
+        bound = np.full(n, np.inf)
+        for c in range(0, len(y), _COLUMNS):
+            got = np.matmul(left[part], right[:, c : c + _COLUMNS], out=room[:n, : min(_COLUMNS, len(y) - c)])
+            limit = bound - norms_x[part] + margin[part]
+            if c == 0 and got.shape[1] > k:
+                limit = np.partition(got, k - 1, axis=1)[:, k - 1] + 2 * margin[part]
+            near = np.flatnonzero(~(got > limit.astype(kind)[:, None]))
+            for s in range(0, len(near), _HELD):  # many equal distances don't take more memory
+                i, j = np.divmod(near[s : s + _HELD], got.shape[1])
+                exact = ((x[i + start].astype(np.float64) - y[j + c].astype(np.float64)) ** 2).sum(1).round(6)
+                rows, at, d = np.concatenate([rows, i]), np.concatenate([at, j + c]), np.concatenate([d, exact])
+                order = np.lexsort((at, d, rows))
+                rows, at, d = rows[order], at[order], d[order]
+                first = np.searchsorted(rows, rows)
+                kept = np.arange(len(rows)) - first < k
+                rows, at, d = rows[kept], at[kept], d[kept]
+            full = np.flatnonzero(np.bincount(rows, minlength=n) == k)
+            bound[full] = d[np.searchsorted(rows, full, "right") - 1]
+        out.append((rows + start, at, d))
+    return tuple(np.concatenate(o) for o in zip(*out))
+
+
 def stored(vectors: DataFrame, vec_id: int) -> list[float]:
     """The vector of a stored id, which must be there."""
     rows = vectors.where(F.col("vec_id") == vec_id).select("v").take(1)

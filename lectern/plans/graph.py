@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import links
 from lectern.plans.catalog import query
 from lectern.plans.retrieval import _ALL_NEAR, proximity_alerts
+from lectern.shared import persist_table
 from lectern.sources.tables import SQL_VECTORS, vectors
 
 _ID = "CAST(vec_id // 5 AS VARCHAR) || ':v2:' || CAST(vec_id % 5 AS VARCHAR)"
@@ -19,8 +20,11 @@ def chunk_name(vec_id):
     return F.concat(F.floor(vec_id / 5).cast("string"), F.lit(":v2:"), (vec_id % 5).cast("string"))
 
 
-def records(spark, d):
-    near = proximity_alerts(spark, d).select(chunk_name(F.col("vec_id")).alias("source_chunk"), chunk_name(F.col("neighbour")).alias("target_chunk"), "distance")
+def records(spark, d, again=False):
+    """Alerts as records; ``again`` says that a query reads them more than once, so that the search is done only once."""
+    found = proximity_alerts(spark, d)
+    found = persist_table(found, "alerts") if again else found
+    near = found.select(chunk_name(F.col("vec_id")).alias("source_chunk"), chunk_name(F.col("neighbour")).alias("target_chunk"), "distance")
     return links.alert_records(near)
 
 
@@ -37,12 +41,12 @@ def canonical_pairs(spark, d):
 
 @query("l3_new_alerts", f"WITH {_RECORDS} SELECT pa_id FROM records WHERE substr(pa_id, 2, 1) > '7'")
 def new_alerts(spark, d):
-    found = records(spark, d)
+    found = records(spark, d, again=True)
     return links.new_alerts(found.where(F.substring("pa_id", 2, 1) <= "7"), found).select("pa_id")
 
 
 def judged(spark, d):
-    found = records(spark, d)
+    found = records(spark, d, again=True)
     first = F.substring("pa_id", 1, 1)
     decisions = found.where(first <= "3").select("pa_id", F.when(first == "3", "rejected").otherwise("confirmed").alias("decision"), F.lit(1).alias("seq"))
     return links.decided(found, decisions)
@@ -51,7 +55,7 @@ def judged(spark, d):
 @query("l4_status_changes", f"WITH {_RECORDS}, e AS (SELECT pa_id, substr(pa_id, 1, 1) AS c, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (length(chunk_a) % 7), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS moment FROM records) SELECT pa_id, CASE WHEN c <= '2' THEN 'confirmed' WHEN c = '3' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN c <= '3' THEN moment END AS decided_at FROM e")
 def status_changes(spark, d):
     """First digits up to 3 are decided; those of 4 and 5 went back to pending, later digits only by an unknown word."""
-    found = records(spark, d)
+    found = records(spark, d, again=True)
     first = F.substring("pa_id", 1, 1)
     at = links.iso(F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(hours=F.length("chunk_a") % 7))
     one = found.where(first <= "5").select("pa_id", F.when(first == "3", "rejected").otherwise("confirmed").alias("decision"), F.lit(1).alias("seq"), at.alias("at"))

@@ -22,3 +22,31 @@ def test_candidates_of_late_pages(spark, made):
     found = [r["line_index"] for r in catalog.queries()["c2_candidates"](spark, d).orderBy("candidate_id").collect()]
     assert max(found) > 390 and found == sorted(found)
     assert max(r["line_index"] for r in catalog.queries()["c3_filtered_candidates"](spark, d).collect()) < 160
+
+
+@pytest.mark.parametrize("kind", ["plain", "equal", "large", "odd"])
+def test_nearest_rows_are_those_of_all_pairs(kind):
+    import numpy as np
+
+    from lectern.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((300, 16)), rng.standard_normal((5000, 16))
+    if kind == "equal":  # many ties at the last place, and before it
+        x, y = np.round(x / 2), np.tile(np.round(y[:50] / 2), (100, 1))
+    if kind == "large":
+        x, y = x * 1e8, y * 1e8
+    if kind == "odd":
+        y[7], y[8, 0], x[3, 1] = np.nan, np.inf, np.nan
+    d = ((x[:, None] - y[None]) ** 2).sum(2).round(6)
+    order = np.argsort(d, axis=1, kind="stable")[:, :10]
+    rows, at, distance = V._nearest_rows(x, y, 10)
+    assert (rows == np.repeat(np.arange(300), 10)).all() and (at == order.ravel()).all()
+    assert np.array_equal(distance, np.take_along_axis(d, order, 1).ravel(), equal_nan=True)
+
+
+def test_alerts_are_searched_once(spark, made):
+    """A record is read twice by its decisions; the comparison of all vectors isn't part of the plan again."""
+    d = made(embeddings=spark.sql("select id as vec_id, transform(sequence(1, 4), k -> cast(sin(id * k) as float)) as embedding, 0 as label from range(60)"))
+    for name in ("l3_new_alerts", "l4_status_changes", "l5_confirmed_links", "j10_links_of_alerts"):
+        assert "MapInArrow" not in catalog.queries()[name](spark, d)._jdf.queryExecution().toString()
