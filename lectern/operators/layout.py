@@ -159,12 +159,14 @@ def split_rows(words: DataFrame) -> DataFrame:
 def built_lines(words: DataFrame) -> DataFrame:
     """A line for each row and column: box and text. The raw text of the source line is taken where all its words are from one."""
     item = F.struct("x0", "y0", F.coalesce("word", F.lit(0)).alias("word"), "text")
+    # least and greatest instead of sets: one pass without distinct aggregates
+    source, raw = F.struct(F.coalesce("block", F.lit(-1)), F.coalesce("line", F.lit(-1))), F.nullif(F.col("source_text"), F.lit(""))
     g = words.groupBy(*KEY, "row", "column").agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("gutter").alias("gutter"), F.max("height").alias("height"),
-        F.array_join(F.array_sort(F.collect_list(item))["text"], " ").alias("joined"), F.countDistinct(F.struct(F.coalesce("block", F.lit(-1)), F.coalesce("line", F.lit(-1)))).alias("sources"), F.collect_set(F.when(F.col("source_text") != "", F.col("source_text"))).alias("raw"),
+        F.array_join(F.array_sort(F.collect_list(item))["text"], " ").alias("joined"), (F.min(source) == F.max(source)).alias("one"), F.min(raw).alias("raw"), F.max(raw).alias("last"),
     )
-    text = normal_text(F.when((F.col("sources") == 1) & (F.size("raw") == 1), F.col("raw")[0]).otherwise(F.col("joined")))
-    return g.withColumn("text", text).where("text <> ''").drop("joined", "sources", "raw")
+    text = normal_text(F.when(F.col("one") & (F.col("raw") == F.col("last")), F.col("raw")).otherwise(F.col("joined")))
+    return g.withColumn("text", text).where("text <> ''").drop("joined", "one", "raw", "last")
 
 
 def merged_fragments(lines: DataFrame) -> DataFrame:

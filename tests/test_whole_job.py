@@ -50,3 +50,16 @@ def test_alerts_are_searched_once(spark, made):
     d = made(embeddings=spark.sql("select id as vec_id, transform(sequence(1, 4), k -> cast(sin(id * k) as float)) as embedding, 0 as label from range(60)"))
     for name in ("l3_new_alerts", "l4_status_changes", "l5_confirmed_links", "j10_links_of_alerts"):
         assert "MapInArrow" not in catalog.queries()[name](spark, d)._jdf.queryExecution().toString()
+
+
+def test_built_lines_need_no_distinct_aggregates(spark):
+    from lectern.operators import layout as L
+
+    rows = [(1, 1, x, 0.0, x + 1, 10.0, t, 1.0, 1.0, b, 1, 0, s, 1, "single", None) for x, t, b, s in [(0.0, "a", 1, "raw"), (2.0, "b", 1, None), (4.0, "c", 1, "raw")]]
+    rows += [(1, 2, x, 0.0, x + 1, 10.0, t, 1.0, 1.0, b, 1, 0, s, 1, "single", None) for x, t, b, s in [(2.0, "a", 1, "raw"), (0.0, "b", 1, "war")]]
+    rows += [(1, 3, x, 0.0, x + 1, 10.0, t, 1.0, 1.0, b, 1, 0, s, 1, "single", None) for x, t, b, s in [(2.0, "a", 1, "raw"), (0.0, "b", None, "raw")]]
+    rows += [(1, 4, 0.0, 0.0, 1.0, 10.0, "a", 1.0, 1.0, None, None, None, "", 1, "single", None)]
+    built = L.built_lines(spark.createDataFrame(rows, L.WORD + ", row int, column string, gutter double"))
+    assert {r.page: r.text for r in built.collect()} == {1: "raw", 2: "b a", 3: "b a", 4: "a"}
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "collect_set" not in plan and plan.count("HashAggregate(") <= 4
