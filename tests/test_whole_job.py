@@ -63,3 +63,42 @@ def test_built_lines_need_no_distinct_aggregates(spark):
     assert {r.page: r.text for r in built.collect()} == {1: "raw", 2: "b a", 3: "b a", 4: "a"}
     plan = built._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "collect_set" not in plan and plan.count("HashAggregate(") <= 4
+
+
+@pytest.mark.parametrize("piece", [7, 40, 1 << 20])
+def test_chunks_of_a_text_in_parts(monkeypatch, piece):
+    from lectern.operators import chunking as C
+
+    monkeypatch.setattr(C, "_PIECE", piece)
+    for text in ("", " \n ", "one", "x" * 300, " ".join(f"w{i * i}" for i in range(200)) + "  end \x1c ", "a " * 50 + "b" * 90 + " c"):
+        words = text.split()
+        lengths = [len(w) for w in words]
+        want, at = [], 0
+        while at < len(words):
+            stop = at + 1
+            while stop < len(words) and sum(lengths[at : stop + 1]) + stop - at <= 60:
+                stop += 1
+            want.append(" ".join(words[at:stop]))
+            at = stop
+        assert list(C.chunks_of_text(text, 60)) == want
+
+
+def test_chunks_are_handed_on_in_small_batches(spark, monkeypatch):
+    """The worker's function itself: no batch holds all chunks of its input."""
+    import pyarrow as pa
+
+    from lectern.operators import chunking as C
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(C, "_YIELD", 5000)
+    texts = [" ".join(["word"] * 2000), None, "", "short"] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    made = list(C.word_chunks(Docs())(iter([batch])))
+    assert max(sum(len(t.as_py()) for t in b["text"]) for b in made) <= 5000 + 2000
+    assert sum(b.num_rows for b in made) == 10 * 6 and [r["chunk_index"] for b in made for r in b.to_pylist()][:7] == [0, 1, 2, 3, 4, 0, 0]
