@@ -102,3 +102,35 @@ def test_chunks_are_handed_on_in_small_batches(spark, monkeypatch):
     made = list(C.word_chunks(Docs())(iter([batch])))
     assert max(sum(len(t.as_py()) for t in b["text"]) for b in made) <= 5000 + 2000
     assert sum(b.num_rows for b in made) == 10 * 6 and [r["chunk_index"] for b in made for r in b.to_pylist()][:7] == [0, 1, 2, 3, 4, 0, 0]
+
+
+def _odd_pages():
+    import random
+
+    rng = random.Random(7)
+    for page in range(30):
+        known, wide = page % 3 == 0, page % 4 != 0
+        for i in range(rng.choice([8, 29, 30, 90, 170])):
+            column, row = rng.choice([0, 1]), rng.randrange(20)
+            x0 = (40 + column * 280 if wide else 40 + column * 120) + rng.randrange(4) * 60 + rng.choice([0, 0, 0.5, 90])
+            y0 = 40 + row * 14 + rng.choice([0, 0, 1.5, 4])
+            yield (1, page, float(x0), float(y0), float(x0 + rng.choice([30, 50, 130])), float(y0 + rng.choice([10, 12])), rng.choice(["a", "b c", "Ü", None, " "]), 600.0, 360.0,
+                row // 5 if known else rng.choice([None, 1]), row if known else None, i if known else None, rng.choice([None, "", "raw"]) if page % 5 else "raw")
+
+
+def test_packed_pages_give_the_lines_of_the_single_steps(spark):
+    from lectern.operators import layout as L
+
+    words = spark.createDataFrame(list(_odd_pages()), L.WORD)
+    names = ["page", "column", "x0", "y0", "x1", "y1", "gutter", "height", "text"]
+    want = L.built_lines(L.split_rows(L.with_gutters(L.rowed(words)))).select(*names)
+    got = L.lines_of(L.packed(words)).select(*names)
+    assert sorted(map(repr, want.collect())) == sorted(map(repr, got.collect()))
+    assert want.where("gutter is not null").count() and want.where("gutter is null").count()
+
+
+def test_words_of_documents_are_not_shuffled(spark, made):
+    d = made(documents=spark.createDataFrame([(0, "en", "word " * 400)], "doc_id bigint, lang string, text string"))
+    plan = catalog.queries()["g12_page_lines"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hash" in line]  # of lines: by document, and by what stands in the margins
+    assert len(exchanges) == 2 and "Join" not in plan
