@@ -134,3 +134,20 @@ def test_words_of_documents_are_not_shuffled(spark, made):
     plan = catalog.queries()["g12_page_lines"](spark, d)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.split("\n") if "Exchange hash" in line]  # of lines: by document, and by what stands in the margins
     assert len(exchanges) == 2 and "Join" not in plan
+
+
+def test_kinds_read_the_first_bytes_only(spark, tmp_path):
+    """A file that no row could hold: three gigabytes, nearly all of them a hole."""
+    from lectern.sources import files as S
+
+    for name, start, size in (("a b.pdf", b"%PDF-1", 3 << 30), ("c%20d.parquet", b"PAR1", 10), ("e", b"P", 1)):
+        with open(tmp_path / name, "wb") as f:
+            f.write(start)
+            f.truncate(size)
+    rows = S.kinds(S.contents(spark, str(tmp_path)).drop("content"), is_pdf=S.PDF, is_parquet=b"PAR1").collect()
+    assert {r.path.rsplit("/", 1)[1]: (r.is_pdf, r.is_parquet) for r in rows} == {"a b.pdf": (True, False), "c%20d.parquet": (False, True), "e": (False, False)}
+
+
+def test_candidates_are_limited_in_shares_first(spark, sf):
+    plan = catalog.queries()["r11_relevance_gate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit [way" in plan and ", share" in plan
