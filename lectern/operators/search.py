@@ -48,6 +48,8 @@ def semantic_score(distance: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), 1 - distance), F.lit(0.0))
 
 
+#: Shares of the tasks whose first chunks are found apart.
+SHARES = 32
 #: What a candidate source adds to the place numbers, in the order in which sources are merged.
 _BASE = {"semantic": 0, "literal": 10_000, "any": 20_000, "metadata": 30_000}
 
@@ -86,11 +88,16 @@ def candidates(chunks: DataFrame, bib: DataFrame, vectors: DataFrame, query: str
     marked = rows.withColumn("ways", ways).where(F.size("ways") > 0).join(bib.select("doc_id", "title", "authors", "year", "doi", "path"), "doc_id")
     each = marked.withColumn("way", F.explode("ways"))
     semantic, lexical = F.col("way") == "semantic", F.col("way").isin("literal", "any")
-    by = Window.partitionBy("way").orderBy(
+    order = [
         F.when(semantic, F.col("distance")), F.when(semantic, F.col("vec_id")), F.when(lexical, F.col("title").isNull()), F.when(lexical, storage.ascii_lower(F.col("title"))),
-        F.when(lexical, storage.ascii_lower(F.col("path"))), "doc_id", "chunk_index",
-    )
+        F.when(lexical, storage.ascii_lower(F.col("path"))), F.col("doc_id"), F.col("chunk_index"),
+    ]
+    by = Window.partitionBy("way").orderBy(*order)
     allowed, base = (F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("way")] for table in (caps, _BASE))
+    # the first of each of some shares, then of all: no task reads what every task before it has kept. A task's rows are of one share, so it keeps no more than it did
+    share = F.pmod(F.spark_partition_id(), F.lit(SHARES))
+    shared = Window.partitionBy("way", "share").orderBy(*order)
+    each = each.withColumn("share", share).withColumn("rn", F.row_number().over(shared)).where(F.col("rn") <= max(caps.values())).drop("rn", "share")
     first = each.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= max(caps.values())).where(F.col("rn") <= allowed)
     source = F.when(lexical, "lexical").otherwise(F.col("way"))
     kept = [c for c in marked.columns if c not in ("doc_id", "chunk_index", "distance", "ways", "about", "vec_id")]
