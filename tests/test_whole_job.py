@@ -151,3 +151,44 @@ def test_kinds_read_the_first_bytes_only(spark, tmp_path):
 def test_candidates_are_limited_in_shares_first(spark, sf):
     plan = catalog.queries()["r11_relevance_gate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit [way" in plan and ", share" in plan
+
+
+def test_fuzzy_spans_need_few_ratios(monkeypatch):
+    """The same as all windows one after the other, with a ratio only where it can be the best."""
+    import random
+    from difflib import SequenceMatcher
+
+    from lectern.operators import matching as M
+
+    asked = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            asked.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(M, "SequenceMatcher", Counted)
+    rng = random.Random(3)
+    for words, least in ((3, 0.72), (40, 0.72), (5, 0.3), (40, 0.0)):
+        for _ in range(20):
+            page = [f"w{rng.randrange(words)}" for _ in range(rng.randrange(12, 25))]
+            excerpt = page[3:6] + ["zzz"] + page[7:11] + ["yyy"]
+            best = (0, 0, -1.0)
+            for size in range(int(len(excerpt) * 0.75), min(len(page), int(len(excerpt) * 1.35) + 2) + 1):
+                for start in range(len(page) - size + 1):
+                    score = SequenceMatcher(a=excerpt, b=page[start : start + size], autojunk=False).ratio()
+                    best = (start, start + size, score) if score > best[2] else best
+            assert M.best_span(page, excerpt, least) == ((*best, "fuzzy-token") if best[2] >= least else None)
+    assert len(asked) < 80 * 20
+
+
+def test_likeness_is_the_cosine_of_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import matching as M
+    from lectern.operators.vectors import cosine
+
+    texts = spark.createDataFrame([(i, None if i == 3 else "" if i == 4 else f"the license of file {i % 7} " * (i % 5)) for i in range(60)], "id int, w string")
+    asked = M.hashed_words(["license file of the software"])[0].tolist()
+    rows = texts.select(M.likeness(F.col("w"), asked).alias("a"), F.round(cosine(M.encoded(F.col("w")), F.array(*[F.lit(x) for x in asked])), 6).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[3].a is None and rows[4].a == 0 and max(r.a or 0 for r in rows) > 0.5
