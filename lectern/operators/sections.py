@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,9 +106,15 @@ def screening_excerpts(sections: DataFrame, most: int = 5, context: int = 16_384
     listed = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "shown", squeezed(F.col("whole")).alias("whole")))).alias("s"))
     share = F.greatest(F.lit(100), F.floor(F.lit(budget) / F.size("s")))
 
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is computed once, however often it is referred to."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     def step(state: Column, x: Column) -> Column:
         text = fitted(x["whole"], F.least(share, F.greatest(F.lit(100), F.lit(budget) - state["used"])))
-        tokens = estimated_tokens(x["shown"]) + estimated_tokens(text) + 20
+        return once(text, lambda t: once(estimated_tokens(x["shown"]) + estimated_tokens(t) + 20, lambda tokens: added(state, x, t, tokens)))
+
+    def added(state: Column, x: Column, text: Column, tokens: Column) -> Column:
         full = state["done"] | (state["used"] >= budget) | ((state["used"] + tokens > budget) & (F.size(state["out"]) > 0))
         item = F.struct(x["at"].alias("at"), x["shown"].alias("shown"), text.alias("text"), (text != x["whole"]).alias("was_cut"))
         return F.struct(F.when(full, state["used"]).otherwise(state["used"] + tokens).alias("used"), F.when(full, state["out"]).otherwise(F.array_append(state["out"], item)).alias("out"), full.alias("done"))

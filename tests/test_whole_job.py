@@ -192,3 +192,23 @@ def test_likeness_is_the_cosine_of_vectors(spark):
     asked = M.hashed_words(["license file of the software"])[0].tolist()
     rows = texts.select(M.likeness(F.col("w"), asked).alias("a"), F.round(cosine(M.encoded(F.col("w")), F.array(*[F.lit(x) for x in asked])), 6).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and rows[3].a is None and rows[4].a == 0 and max(r.a or 0 for r in rows) > 0.5
+
+
+def test_names_are_spread_and_counted_first(spark):
+    from lectern.operators import prompts as P
+
+    bib = spark.createDataFrame([("Ada Byron and Bo Li",), ("Ada Byron, Cy Do",), ("A. Byron",), (None,), ("X",)], "authors string")
+    top = P.top_authors(bib, 2)
+    assert [tuple(r) for r in top.collect()] == [("byron", 3), ("do", 1)]
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.count("Aggregate") == 2
+
+
+def test_excerpts_are_cut_once(spark):
+    """The patterns of a fold's step, without what is repeated for each reference to them."""
+    from lectern.operators import sections as S
+
+    frame = spark.createDataFrame([(1, 0, "T", "1", "some text " * 900), (1, 1, "U", "2", "more text " * 900)], "doc_id bigint, section_index int, title string, number string, text string")
+    made = S.screening_excerpts(frame, context=2500)
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 30  # 64 before
+    assert [(r.section_index, r.was_cut) for r in made.orderBy("section_index").collect()] == [(0, True)]
