@@ -13,6 +13,8 @@ from lectern.functions.text import author_names, squeezed, surname
 from lectern.operators.evidence import citation, source_label
 from lectern.operators.storage import listing_order
 
+#: Tasks over which names are spread.
+SPREAD = 64
 _INQUIRY = (
     "Relate the research question to the evidence given. Use nothing but the evidence, and name sources by their citation fields only. Speak of this collection, not of all research. "
     "Tell evidence that answers the question from what touches it in part, lies beside it, or doesn't bear on it. Make up nothing; say plainly when there is little.",
@@ -118,5 +120,7 @@ def top_authors(bib: DataFrame, limit: int) -> DataFrame:
     """(surname, n): the most frequent surnames. A negative limit is an error."""
     if limit < 0:
         raise ValueError("the number of authors must be zero or more")
-    names = bib.select(F.explode(author_names(F.col("authors"))).alias("a")).select(F.lower(surname(F.col("a"))).alias("surname")).where("surname is not null")
-    return names.groupBy("surname").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "surname").limit(limit)
+    # rows are spread before their patterns are matched: few bytes, but much work; a name's surname is found once
+    names = bib.select("authors").repartition(SPREAD).select(F.explode(author_names(F.col("authors"))).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+    surnames = names.select(F.lower(surname(F.col("a"))).alias("surname"), "n").groupBy("surname").agg(F.sum(F.when(F.col("surname").isNotNull(), F.col("n"))).alias("n"))
+    return surnames.where("n is not null").orderBy(F.desc("n"), "surname").limit(limit)
